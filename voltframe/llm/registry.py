@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .mixing import op9_mixing
 from .pii import op7_pii
 from .simhash import op3_simhash
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op7_pii": op7_pii,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE: dict[str, str] = {}
