@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .html import op10_html
+from .langid import op8_language
 from .mixing import op9_mixing
 from .pii import op7_pii
 from .simhash import op3_simhash
@@ -17,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op7_pii": op7_pii,
+    "op8_language": op8_language,
     "op9_mixing": op9_mixing,
+    "op10_html": op10_html,
 }
 
 ORACLE: dict[str, str] = {}
