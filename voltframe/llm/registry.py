@@ -14,11 +14,13 @@ from .pii import op7_pii
 from .simhash import op3_simhash
 from .substrings import op6_substrings
 from .toxicity import op1_toxicity
+from .vectors import op5_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op5_vectors": op5_vectors,
     "op6_substrings": op6_substrings,
     "op7_pii": op7_pii,
     "op8_language": op8_language,
