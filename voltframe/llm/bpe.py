@@ -41,7 +41,9 @@ _END = "</w>"
 NONE = 1 << 30
 _STOPS = frozenset(",.;:!?")
 #: Chunks that one worker keeps; twice as many at most.
-CACHE = 400_000
+CACHE = 200_000
+#: Characters of the texts that are held as chunks at a time (a longer text goes alone).
+HELD = 2_000_000
 #: Words above this many symbols are merged with a heap and links, in n log n steps.
 SHORT = 200
 
@@ -234,6 +236,17 @@ def joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
     return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[1]])
 
 
+def encoded(bpe: Bpe, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
+    """Ids and decoded text of each text, a few texts at a time."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > HELD:
+            yield from map(joined, bpe.parts(texts[at:i]))
+            at, size = i, 0
+        size += len(t or "")
+    yield from map(joined, bpe.parts(texts[at:]))
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Bpe:
     """One for each file and Python worker."""
@@ -260,7 +273,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path or default_path())
         for b in batches:
-            got = [joined(x) for x in bpe.parts(b.column(b.schema.get_field_index(text)).to_pylist())]
+            got = [*encoded(bpe, b.column(b.schema.get_field_index(text)).to_pylist())]
             ids, said = [array("i", x[0]) for x in got], [x[1] for x in got]
             offsets = pa.array([0, *_sums(map(len, ids))], pa.int32())
             flat = pa.array(_flat(ids), pa.int32())
@@ -289,8 +302,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = tokenizer(path or default_path())
         for b in batches:
             n, ids, said = [], [], []
-            for x in bpe.parts(b.column(1).to_pylist()):
-                raw, text = joined(x)
+            for raw, text in encoded(bpe, b.column(1).to_pylist()):
                 n.append(len(raw) // 4)
                 ids.append(sha256(raw).hexdigest())
                 said.append(sha256(text.encode()).hexdigest())
