@@ -8,8 +8,9 @@ told apart word for word.
 Three things keep that small. A minimiser that stands in one super-k-mer of all marks windows without a twin:
 a bitmap of fixed size, made from counts over all documents, tells which may be left at home (a false hit
 costs a row, no result). Equal packed strings need no look inside. And minimisers with more than HOT
-super-k-mers, known by a second such bitmap, deal their windows out one by one, by a 128-bit hash of each, so
-that counts are pre-aggregated and no bucket holds a hot passage.
+super-k-mers, known by a second such bitmap, are dealt to several buckets of about HOT rows. What repeats within
+one of these is settled there; a window that is alone in its bucket goes on by its 128-bit hash, with one
+stand-in for each repeated one of the other buckets, and is counted among them.
 """
 
 from __future__ import annotations
@@ -147,52 +148,53 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
             ok &= bit(busy, block["minimiser"]) == hot_ones
         return np.flatnonzero(ok)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch], hot_ones: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw, s in super_kmers(b.column(1).to_pylist(), window):
-                i = pick(s, False)
+                i = pick(s, hot_ones)
                 said = [raw[x:y] for x, y in zip(s["start"][i].tolist(), s["end"][i].tolist(), strict=True)]
                 row = pa.array(s["row"][i])
                 yield pa.RecordBatch.from_arrays([pa.array(s["minimiser"][i]), b.column(0).take(row), b.column(2).take(row), pa.array(s["first"][i]), pa.array(said, pa.binary())], ["minimiser", "doc_id", "h", "first", "packed"])
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in batches:
-            if not len(b):
-                continue
-            rest = pa.concat_tables([rest, pa.Table.from_batches([b])]).combine_chunks() if rest is not None else pa.Table.from_batches([b])
-            m = rest.column(0).to_numpy()
-            stop = int(np.flatnonzero(m != m[-1])[-1]) + 1 if m[0] != m[-1] else 0
-            if stop:
-                yield _count(rest.slice(0, stop), window)
-                rest = rest.slice(stop)
-        if rest is not None:
-            yield _count(rest, window)
-
-    out = "doc_id long, h long, a long, b long"
+        yield from _whole(batches, 1, lambda t: _count(t, window, 4))
+
+    out, rows_of = "doc_id long, h long, a long, b long", "minimiser long, doc_id long, h long, first long, packed binary"
     docs = docs.select("doc_id", "text", "h")
-    rows = docs.mapInArrow(packed, "minimiser long, doc_id long, h long, first long, packed binary")
+    rows = docs.mapInArrow(lambda x: packed(x, False), rows_of)
     cold = rows.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(buckets, out)
     if not any_busy:
         return cold
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw, s in super_kmers(b.column(1).to_pylist(), window):
-                i = pick(s, True)
-                who, first, key = [], [], []
-                for row, f, x, y in zip(*(s[k][i].tolist() for k in ("row", "first", "start", "end")), strict=True):
-                    for t, w in enumerate(_windows(raw[x:y], window)):
-                        who.append(row)
-                        first.append(f + t)
-                        key.append(xxhash.xxh3_128_digest(w))
-                row = pa.array(who, pa.int64())
-                both = np.frombuffer(b"".join(key), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), b.column(0).take(row), b.column(2).take(row), pa.array(first, pa.int64())], ["k1", "k2", "doc_id", "h", "a"])
-
-    alone = docs.mapInArrow(each, "k1 long, k2 long, doc_id long, h long, a long")
-    twice = cut(alone.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
-    return cold.unionAll(alone.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "h", "a", (F.col("a") + window).alias("b")))
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _whole(batches, 2, lambda t: _count(t, window, 5))
+
+    many = docs.mapInArrow(lambda x: packed(x, True), rows_of)
+    times = counts.where(F.col("count") > hot).select("minimiser", F.ceil(F.col("count") / F.lit(hot)).alias("parts"))
+    many = many.join(times, "minimiser", "left").withColumn("part", F.pmod(F.xxhash64("h", "first"), F.coalesce("parts", F.lit(1))))
+    order = ["minimiser", "part"]
+    settled = many.select("minimiser", "part", "doc_id", "h", "first", "packed").repartition(*order).sortWithinPartitions(*order).mapInArrow(settle, f"{out}, k1 long, k2 long, alone boolean")
+    settled = cut(settled)
+    single = settled.where("alone").select("doc_id", "h", "a", "b", "k1", "k2")
+    twice = settled.where("k1 is not null").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
+    return cold.unionAll(settled.where("k1 is null").select("doc_id", "h", "a", "b")).unionAll(single.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "h", "a", "b"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int, count) -> Iterator[pa.RecordBatch]:
+    """count() of whole buckets: rows are sorted by their first columns, and batches may end within a bucket."""
+    rest: pa.Table | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        rest = pa.concat_tables([rest, pa.Table.from_batches([b])]).combine_chunks() if rest is not None else pa.Table.from_batches([b])
+        key = [rest.column(k).to_numpy() for k in range(keys)]
+        other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+        if len(other):
+            stop = int(other[-1]) + 1
+            yield from count(rest.slice(0, stop))
+            rest = rest.slice(stop)
+    if rest is not None:
+        yield from count(rest)
 
 
 def _windows(packed: bytes, window: int) -> list[bytes]:
@@ -202,44 +204,63 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
     return [packed[s:e] for s, e in zip(starts, [*at[window - 1 :], len(packed)], strict=True)]
 
 
-def _count(rows: pa.Table, window: int) -> pa.RecordBatch:
-    """Ranges of repeated windows of whole buckets."""
-    m = rows.column(0).to_numpy()
-    packed = rows.column(4).to_pylist()
-    edge = np.r_[np.flatnonzero(np.r_[True, m[1:] != m[:-1]]), len(m)].tolist()
-    row, lo, hi = [], [], []
+def _count(rows: pa.Table, window: int, at: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of repeated windows of whole buckets; at is the column of packed strings, those before it are as in buckets().
+
+    For parts of hot buckets (at is 5) also each window that is alone there, and one stand-in for each
+    repeated one, by their hashes.
+    """
+    keys = [rows.column(k).to_numpy() for k in range(at - 3)]
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    packed = rows.column(at).to_pylist()
+    edge = np.r_[np.flatnonzero(np.r_[True, new]), len(packed)].tolist()
+    row, lo, hi, key = [], [], [], []
+    alone: list[bool] = []
     for s, e in zip(edge, edge[1:], strict=False):
-        if e - s < 2:
+        if e - s < 2 and at == 4:
             continue
         times = Counter(packed[s:e])
         whole = {p for p, n in times.items() if n > 1}
-        ranges: dict[bytes, list[tuple[int, int]]] = {}
-        if len(times) > 1:
+        ranges: dict[bytes, list[tuple[int, int]]] = {p: [(0, p.count(b" ") + 1)] for p in whole}
+        single: dict[bytes, list[tuple[int, bytes]]] = {}
+        if len(times) > 1 or at == 5:
             each = {p: _windows(p, window) for p in times}
             seen = Counter([w for x in each.values() for w in x])
+            told: set[bytes] = set()
             for p, x in each.items():
-                if p in whole:
-                    continue
                 own: list[tuple[int, int]] = []
                 for t, w in enumerate(x):
-                    if seen[w] > 1:
+                    if p in whole or seen[w] > 1:
                         if own and own[-1][1] == t + window - 1:
                             own[-1] = (own[-1][0], t + window)
                         else:
                             own.append((t, t + window))
+                        if at == 5 and w not in told:
+                            told.add(w)
+                            row.append(s), lo.append(0), hi.append(0), key.append(w), alone.append(False)
+                    elif at == 5:
+                        single.setdefault(p, []).append((t, w))
                 ranges[p] = own
-        for p in whole:
-            ranges[p] = [(0, p.count(b" ") + 1)]
         for i in range(s, e):
             for a, b in ranges[packed[i]]:
-                row.append(i)
-                lo.append(a)
-                hi.append(b)
+                row.append(i), lo.append(a), hi.append(b), key.append(None), alone.append(False)
+            for t, w in single.get(packed[i], ()):
+                row.append(i), lo.append(t), hi.append(t + window), key.append(w), alone.append(True)
     pick = pa.array(row, pa.int64())
-    first = rows.column(3).to_numpy()[row] if row else np.empty(0, dtype=np.int64)
-    take = lambda n: rows.column(n).take(pick).combine_chunks()
-    flat = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-    return pa.RecordBatch.from_arrays([flat(take(1)), flat(take(2)), pa.array(first + np.array(lo, dtype=np.int64)), pa.array(first + np.array(hi, dtype=np.int64))], ["doc_id", "h", "a", "b"])
+    first = rows.column(at - 1).to_numpy()[row] if row else np.empty(0, dtype=np.int64)
+
+    def take(n: int) -> pa.Array:
+        x = rows.column(n).take(pick)
+        return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+
+    cols = [take(at - 3), take(at - 2), pa.array(first + np.array(lo, dtype=np.int64)), pa.array(first + np.array(hi, dtype=np.int64))]
+    names = ["doc_id", "h", "a", "b"]
+    if at == 5:
+        hashes = [None if w is None else xxhash.xxh3_128_intdigest(w) for w in key]
+        half = lambda shift: pa.array([None if x is None else (x >> shift & (1 << 64) - 1) - (1 << 63) for x in hashes], pa.int64())
+        cols += [half(0), half(64), pa.array(alone, pa.bool_())]
+        names += ["k1", "k2", "alone"]
+    yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def kept_words(text: str | None, ranges: list[dict] | None) -> tuple[int, list[bytes]]:
