@@ -66,7 +66,7 @@ def fingerprints(texts: list[str | None], words: int, width: int = 1) -> np.ndar
         starts = np.concatenate([np.arange(o, o + k, 255) for o, k in zip(np.cumsum(n) - n, n, strict=True)])
         of = np.repeat(np.arange(len(n)), -(-n // 255))
         counts = np.zeros((len(n), width * 64), dtype=np.int64)
-        step = max(1, (1 << 15) // width)  # blocks of at most 255 hashes
+        step = max(1, (1 << 11) // width)  # chunks of at most 255 hashes
         for i in range(0, len(starts), step):
             a, b = starts[i], starts[i + step] if i + step < len(starts) else len(h)
             spread = _SPREAD[widen(h[a:b], width).view(np.uint8)]
@@ -99,33 +99,37 @@ def ball(values: np.ndarray, bits: int, radius: int) -> Iterator[tuple[np.ndarra
             yield i, values[i] ^ np.uint64(m), False
 
 
-def forest(check: np.ndarray, own: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Minimum spanning forest over pairs within most bits of which one at least is the bucket's own."""
+def forest(check: np.ndarray, own: np.ndarray, most: int, group: np.ndarray) -> list[tuple[int, int]]:
+    """Minimum spanning forest over pairs within most bits of which one at least is the bucket's own.
+
+    Rows of one group hang together already: their links come first and are not given back.
+    """
     n, out = len(check), []
     left = np.ones(n, dtype=bool)
     near, by = np.full(n, 99, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for _ in range(n):
         at = int(np.where(left, near, 1000).argmin())
-        if near[at] <= most:
+        if 0 <= near[at] <= most:
             out.append((int(by[at]), at))
         left[at] = False
         d = np.bitwise_count(check ^ check[at]).astype(np.int64)
         if not own[at]:
             d[~own] = 99
+        d[group == group[at]] = -1
         closer = left & (d < near)
         near[closer], by[closer] = d[closer], at
     return out
 
 
-def _links(key: np.ndarray, ids: np.ndarray, check: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) within buckets; rows are sorted by key and buckets are whole."""
+def _links(key: np.ndarray, ids: np.ndarray, check: np.ndarray, own: np.ndarray, most: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) within buckets, but for pairs of one group; rows are sorted by key and buckets are whole."""
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     some = np.add.reduceat(own.astype(np.int64), first) > 0
     for s, n in zip(first[some & (size > FEW)].tolist(), size[some & (size > FEW)].tolist(), strict=True):
-        for x, y in forest(check[s : s + n], own[s : s + n], most):
+        for x, y in forest(check[s : s + n], own[s : s + n], most, group[s : s + n]):
             a.append(ids[s + x : s + x + 1])
             b.append(ids[s + y : s + y + 1])
     end = np.repeat(first + size, size)
@@ -135,7 +139,7 @@ def _links(key: np.ndarray, ids: np.ndarray, check: np.ndarray, own: np.ndarray,
         if not len(i):
             break
         j = i + shift
-        ok = (own[i] | own[j]) & (np.bitwise_count(check[i] ^ check[j]) <= most)
+        ok = (own[i] | own[j]) & (group[i] != group[j]) & (np.bitwise_count(check[i] ^ check[j]) <= most)
         a.append(ids[i[ok]])
         b.append(ids[j[ok]])
     join = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
@@ -143,26 +147,31 @@ def _links(key: np.ndarray, ids: np.ndarray, check: np.ndarray, own: np.ndarray,
 
 
 def bucket_links(rows: DataFrame, own: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> DataFrame:
-    """(a, b) of rows (key, id, fp): links inside buckets, each bucket of a bounded size."""
+    """(a, b) of rows (key, id, fp, grp): links inside buckets of a bounded size, between ids of different groups only.
+
+    Without grp each id is a group of its own.
+    """
+    if "grp" not in rows.columns:
+        rows = rows.withColumn("grp", F.col("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)]
+        rest = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.int64)]
 
         def give(cols: list[np.ndarray]) -> pa.RecordBatch:
-            k, i, f = cols
-            x, y = _links(k, i, f, own(k, f), most) if len(k) else (i, i)
+            k, i, f, g = cols
+            x, y = _links(k, i, f, own(k, f), most, g) if len(k) else (i, i)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            k, i, f = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(3))
-            rest = [np.concatenate([r, c]) for r, c in zip(rest, (k, i, f.view(np.uint64)), strict=True)]
+            k, i, f, g = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(4))
+            rest = [np.concatenate([r, c]) for r, c in zip(rest, (k, i, f.view(np.uint64), g), strict=True)]
             stop = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
             if stop:
                 yield give([c[:stop] for c in rest])
                 rest = [c[stop:] for c in rest]
         yield give(rest)
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "id", "fp").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "id", "fp", "grp").mapInArrow(run, "a long, b long")
 
 
 # --- complete form: all links within a distance of 64-bit fingerprints ---
@@ -252,7 +261,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similarity form: five words, similarity 0.8 and more ---
 
 #: 1024 bits; 16 segments of 20 bits from the first five words of 64, the sixth checks buckets.
-WORDS, WIDTH, PARTS, PART_BITS, SIMILARITY = 5, 16, 16, 20, 0.8
+WORDS, WIDTH, PARTS, FIRST_PARTS, PART_BITS, SIMILARITY = 5, 16, 16, 4, 20, 0.8
 
 
 def expected_share(similarity: float) -> float:
@@ -260,6 +269,21 @@ def expected_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def _dealt(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """rows of ask() with hot buckets cut into parts, each part with the bucket's first LEADERS rows besides; own are the table's rows alone."""
+    counts = own.groupBy("key").count()
+    busy = cut(counts.where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / F.lit(HOT // 2)).alias("parts")))
+    if busy.isEmpty():
+        return rows
+    hot = rows.join(busy, "key")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+    lead = own.join(busy, "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
+    names = ["key", "id", "fp", "grp"]
+    dealt = hot.select(*names, F.pmod(F.xxhash64("id"), "parts").alias("part")).unionByName(lead.select(*names, F.explode(F.expr("sequence(0l, parts - 1)")).alias("part"))).distinct()
+    dealt = dealt.withColumn("key", F.col("key") + (F.col("part") + 1) * (PARTS << PART_BITS))
+    return rows.join(busy, "key", "left_anti").select(names).unionAll(dealt.select(names))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, keep) of docs (doc_id, text): keep is true for the smallest doc_id of each near-duplicate group.
 
@@ -284,37 +308,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     fps = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, bits binary"))
     reps = cut(fps.groupBy("bits").agg(F.min("doc_id").alias("rep")))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch], parts: range, own: bool = False) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, group = (b.column(n).to_numpy(zero_copy_only=False) for n in (0, 2))
             words = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(-1, WIDTH)
             bits = np.unpackbits(words[:, : PARTS * PART_BITS // 64].copy().view(np.uint8), axis=1, bitorder="little").reshape(len(words), PARTS, PART_BITS)
             values = (bits.astype(np.uint64) << np.arange(PART_BITS, dtype=np.uint64)).sum(2)
             check = words[:, PARTS * PART_BITS // 64] & ~np.uint64(1)
-            for p in range(PARTS):
-                for i, v, exact in ball(values[:, p], PART_BITS, 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64) | p << PART_BITS), pa.array(ids[i]), pa.array((check[i] | np.uint64(exact)).view(np.int64))], ["key", "id", "fp"])
-
-    rows = reps.select("rep", "bits").mapInArrow(ask, "key long, id long, fp long")
-    exact = F.col("fp").bitwiseAND(1) == 1
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in ask(batches):
-            if len(b) and b.column(2)[0].as_py() & 1:
-                yield b.select(["key"])
-
-    counts = reps.select("rep", "bits").mapInArrow(segments, "key long").groupBy("key").count()
-    busy = cut(counts.where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / F.lit(HOT // 2)).alias("parts")))
-    if not busy.isEmpty():
-        hot = rows.join(busy, "key")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        lead = hot.where(exact).withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
-        dealt = hot.select("key", "id", "fp", F.pmod(F.xxhash64("id"), "parts").alias("part")).unionByName(lead.select("key", "id", "fp", F.explode(F.expr("sequence(0l, parts - 1)")).alias("part"))).distinct()
-        dealt = dealt.select((F.col("key") + (F.col("part") + 1) * (PARTS << PART_BITS)).alias("key"), "id", "fp")
-        rows = rows.join(busy, "key", "left_anti").select("key", "id", "fp").unionAll(dealt)
-    links = bucket_links(rows, lambda k, f: (f & np.uint64(1)).astype(bool), rough)
-    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    left, right = reps.select(F.col("rep").alias("a"), F.col("bits").alias("x")), reps.select(F.col("rep").alias("b"), F.col("bits").alias("y"))
+            for p in parts:
+                for i, v, exact in ball(values[:, p], PART_BITS, 0 if own else 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64) | p << PART_BITS), pa.array(ids[i]), pa.array((check[i] | np.uint64(exact)).view(np.int64)), pa.array(group[i])], ["key", "id", "fp", "grp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,8 +326,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 ok = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
                 yield b.select(["a", "b"]).filter(ok)
 
-    sure = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    comp = components(sure).where("node <> component").select(F.col("node").alias("rep"))
-    gone = reps.join(comp, "rep", "left_semi").select("bits", F.lit(False).alias("first"))
+    left, right = reps.select(F.col("rep").alias("a"), F.col("bits").alias("x")), reps.select(F.col("rep").alias("b"), F.col("bits").alias("y"))
+    grouped, sure = reps.withColumn("grp", F.col("rep")), None
+    for parts in (range(FIRST_PARTS), range(FIRST_PARTS, PARTS)):  # what the first segments have linked is known in the others
+        entries, kind = grouped.select("rep", "bits", "grp"), "key long, id long, fp long, grp long"
+        rows = entries.mapInArrow(lambda x, parts=parts: ask(x, parts), kind)
+        links = bucket_links(_dealt(rows, entries.mapInArrow(lambda x, parts=parts: ask(x, parts, True), kind)), lambda k, f: (f & np.uint64(1)).astype(bool), rough)
+        pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        found = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+        sure = found if sure is None else sure.unionAll(found)
+        comp = components(sure).withColumnRenamed("node", "rep")
+        grouped = reps.join(comp, "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
+    gone = reps.join(comp.where("rep <> component"), "rep", "left_semi").select("bits", F.lit(False).alias("first"))
     marked = fps.join(reps, "bits").join(gone, "bits", "left")
     return marked.select("doc_id", (F.coalesce("first", F.lit(True)) & (F.col("doc_id") == F.col("rep"))).alias("keep")).groupBy("doc_id").agg(F.max("keep").alias("keep"))
