@@ -160,14 +160,17 @@ def _lexicon(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
         h = min((xxhash.xxh32_intdigest(" ".join(d[j : j + 3]), 7) for j in range(max(1, len(d) - 2))), default=0)
         firsts.setdefault(h * 2 + int(toxic[i]), i)
     once = sorted(firsts.values())
-    bad, good = Counter(), Counter()
     holds: dict[str, set[int]] = defaultdict(set)
     for i in once:
-        own = {f for t in set(docs[i]) for f in features(t)}
-        (bad if toxic[i] else good).update(own)
         if toxic[i]:
-            for f in own:
+            for f in {f for t in set(docs[i]) for f in features(t)}:
                 holds[f].add(i)
+    bad = Counter({f: len(x) for f, x in holds.items() if len(x) > 1})
+    holds = {f: holds[f] for f in bad}
+    good: Counter = Counter()
+    for i in once:
+        if not toxic[i]:
+            good.update({f for t in set(docs[i]) for f in features(t) if f in bad})
     n_bad, n_good = max(1, sum(bool(toxic[i]) for i in once)), max(1, sum(not toxic[i] for i in once))
     pure = {f for f, n in bad.items() if n >= 2 and good[f] <= 0.02 * n * n_good / n_bad and good[f] < n}
     picked = {f for f in pure if bad[f] >= max(5, 0.02 * n_bad)}
@@ -192,7 +195,16 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80) -> Crf:
         crf.level = float(np.log((share + 0.01) / (1.01 - share)))
         crf.prepare()
         return crf
-    docs = [[token(c) for c in t.split()] for t in texts]
+    same: dict[str, str] = {}
+    tokens: dict[str, str] = {}
+    docs = []
+    for t in texts:  # one string for each token, however often it occurs
+        chunks = t.split()
+        for c in set(chunks).difference(tokens):
+            x = token(c)
+            tokens[c] = same.setdefault(x, x)
+        docs.append([tokens[c] for c in chunks])
+    del tokens
     lexicon = _lexicon(docs, y)
     names = sorted(lexicon)
     number = {f: n for n, f in enumerate(names)}
