@@ -24,7 +24,7 @@ BLOCK, SHARD_BLOCKS, SEED = 64, 4096, 20_240_601
 WEIGHTS, MOST_COPIES = (1.0, 2.0, 3.0), 3
 MOST_SOURCES, MOST_SHARDS = 1_000_000, 10_000
 #: Documents of one source whose sizes are summed up in one place.
-GROUP = 20_000
+GROUP = 2_000
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
