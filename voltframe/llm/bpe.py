@@ -41,9 +41,9 @@ _END = "</w>"
 NONE = 1 << 30
 _STOPS = frozenset(",.;:!?")
 #: Chunks that one worker keeps; twice as many at most.
-CACHE = 200_000
+CACHE = 120_000
 #: Characters of the texts that are held as chunks at a time (a longer text goes alone).
-HELD = 2_000_000
+HELD = 1_000_000
 #: Words above this many symbols are merged with a heap and links, in n log n steps.
 SHORT = 200
 
