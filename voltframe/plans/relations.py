@@ -207,9 +207,9 @@ def _(s, d):
     return _nearest(s, d).select("qid", "pid", *r9("dist"))
 
 
-@query("jon_8_nearest_within", f"+{_NEAR} SELECT qid, pid FROM near WHERE dist < 0.12", "points")
+@query("jon_8_nearest_within", f"+{_NEAR} SELECT qid, pid FROM near WHERE dist < 0.3", "points")
 def _(s, d):
-    return _nearest(s, d).where("dist < 0.12").select("qid", "pid")
+    return _nearest(s, d).where("dist < 0.3").select("qid", "pid")
 
 
 @query("jon_9_disconnected", "SELECT id FROM loads WHERE point_id NOT IN (SELECT src FROM mesh WHERE id >= 2000000000 UNION ALL SELECT dst FROM mesh WHERE id >= 2000000000)", "loads", "mesh")
@@ -241,9 +241,9 @@ def _(s, d):
     return T.read(s, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
-@query("jon_15_missing_codes", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("jon_15_missing_codes", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9800)")
 def _(s, d):
-    return T.read(s, d, "nation").join(T.read(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti").select("n_nationkey")
+    return T.read(s, d, "nation").join(T.read(s, d, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti").select("n_nationkey")
 
 
 @query("jon_16_common_nodes", "SELECT node FROM (SELECT src AS node FROM mesh UNION SELECT dst FROM mesh) INTERSECT SELECT src FROM mesh WHERE id >= 2000000000", "mesh")
