@@ -7,6 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltframe.functions.sessions import checkpoint_dir, cut  # noqa: F401  (for the other modules)
+from voltframe.operators.components import star_components
+
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Size of one Arrow batch that is sent to Python, unless a single row is larger.
@@ -29,52 +32,9 @@ def for_python(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where none is set."""
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: lineage ends there and no lost executor takes rows along."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b), both long: (node, component), component the smallest node.
 
-    Alternating large-star and small-star steps: each step hangs neighbours onto the smallest one seen,
-    so long chains shrink by a constant factor and no step holds a node's neighbours in one place
-    (minima are partial aggregates, the join back is one that Spark may split by skew). Each round is
-    checkpointed. Self loops, repeated and reversed edges are fine; nulls are dropped; no edges, no rows.
+    Self loops, repeated and reversed edges are fine; nulls are dropped; no edges, no rows. See star_components().
     """
-    e = edges.where("a is not null and b is not null and a <> b")
-    e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    for _ in range(rounds):
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.u", "x.v").where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.col("u") % 1000003), F.sum(F.col("v") % 1000003), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
-            return e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = now
-    raise RuntimeError(f"components did not settle within {rounds} rounds")
+    return star_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
