@@ -20,7 +20,7 @@ from .common import for_python, table
 
 #: The model is fitted to at most ROWS labelled rows, EACH at most of a language, none longer than LONGEST characters,
 #: and knows the MOST_LANGUAGES most frequent languages.
-ROWS, EACH, LONGEST, MOST_LANGUAGES = 12_000, 1500, 20_000, 400
+ROWS, EACH, LONGEST, MOST_LANGUAGES = 4000, 1000, 20_000, 400
 DIMENSIONS = 1 << 13
 #: Texts whose best language has less than this lead in probability are ambiguous.
 LEAD = 0.2
@@ -95,7 +95,9 @@ def fit(texts: list[str], languages: list[str], rounds: int = 200) -> Model:
     code = codewords(len(names))
     number = {x: i for i, x in enumerate(names)}
     y = code[[number[x] for x in languages]]
-    x = np.stack([ngrams(t) for t in texts]).astype(np.float32)
+    x = np.empty((len(texts), DIMENSIONS), dtype=np.float32)  # at most ROWS x DIMENSIONS x 4 bytes
+    for i, t in enumerate(texts):
+        x[i] = ngrams(t)
     each = 1.0 / np.bincount([number[x] for x in languages])[[number[x] for x in languages]] / len(names)
     w, level = np.zeros((DIMENSIONS, code.shape[1])), np.zeros(code.shape[1])
     ahead, before = w.copy(), w.copy()
