@@ -78,6 +78,7 @@ def subtree_sums(tree: DataFrame, values: DataFrame, local: bool | None = None)
 
 def edge_flows(tree: DataFrame, loads: DataFrame, generators: DataFrame, edges: DataFrame, local: bool | None = None) -> DataFrame:
     """(edge, flow, loss): magnitudes of all generators add up; edges without flow give no row."""
+    tree = cut(tree)  # shares, the largest tree's size and the sums all read it
     s = supplied(fractional_shares(tree, loads), generators)
     per = subtree_sums(tree, s, local).groupBy("edge").agg(F.sum("flow").alias("flow")).where("flow > 0")
     return per.join(edges.select(F.col("id").alias("edge"), "length"), "edge").select("edge", "flow", exprs.power_loss(F.col("flow"), F.col("length")).alias("loss"))
