@@ -6,11 +6,13 @@ so each is looked up, for every segment, under all values of a small Hamming bal
 values; what is found is verified by the complete distance. A pair meets from one side only: of a differing
 mask, the fingerprint that has 0 at the mask's lowest bit asks.
 
-Nothing emits all pairs of a bucket: what a bucket gives is a spanning forest of its links, nearest first.
+A bucket of the complete form gives a spanning forest of its links, nearest first. The similarity form at the
+end works on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -27,8 +29,6 @@ SEED = 42
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 #: Up to so many rows of a bucket are compared by shifts; up to HOT as one forest.
 FEW, HOT = 16, 2048
-#: In the similarity form, rows of a hot bucket that all its parts get.
-LEADERS = 128
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -258,85 +258,218 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-# --- similarity form: five words, similarity 0.8 and more ---
+# --- similarity form: five words, similarity 0.8 and more, exact ---
 
-#: 1024 bits; 16 segments of 20 bits from the first five words of 64, the sixth checks buckets.
-WORDS, WIDTH, PARTS, FIRST_PARTS, PART_BITS, SIMILARITY = 5, 16, 16, 4, 20, 0.8
+#: Counters of shingles by the low bits of their hash, given out in slices; rows of a bucket that meet in one place.
+WORDS, SIMILARITY, SLOTS, SLICES, BUCKET, BLOCK = 5, 0.8, 1 << 20, 64, 8192, 1024
+#: Least hashes by which large groups are found early.
+STARS = 8
 
 
-def expected_share(similarity: float) -> float:
-    """Share of bits in which two sets of equal size and this Jaccard similarity differ, on average."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, sorted."""
+    return [np.unique(shingle_hashes(t, words)) for t in texts]
 
 
-def _dealt(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """rows of ask() with hot buckets cut into parts, each part with the bucket's first LEADERS rows besides; own are the table's rows alone."""
-    counts = own.groupBy("key").count()
-    busy = cut(counts.where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / F.lit(HOT // 2)).alias("parts")))
-    if busy.isEmpty():
-        return rows
-    hot = rows.join(busy, "key")
-    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-    lead = own.join(busy, "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
-    names = ["key", "id", "fp", "grp"]
-    dealt = hot.select(*names, F.pmod(F.xxhash64("id"), "parts").alias("part")).unionByName(lead.select(*names, F.explode(F.expr("sequence(0l, parts - 1)")).alias("part"))).distinct()
-    dealt = dealt.withColumn("key", F.col("key") + (F.col("part") + 1) * (PARTS << PART_BITS))
-    return rows.join(busy, "key", "left_anti").select(names).unionAll(dealt.select(names))
+def prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Two sets this similar share one of so many first elements of both, in any common order."""
+    return size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+
+
+def prefixes(sets: list[np.ndarray], counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, place, hash) of the elements of each set's prefix, elements with the least counts first."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    h, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    h = h[np.lexsort((h, counts[h & np.uint64(SLOTS - 1)], of))]
+    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    keep = place < np.repeat(prefix_length(size, similarity), size)
+    return of[keep], place[keep], h[keep]
+
+
+def _may(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m elements can be similar if what they share first stands at places p and q."""
+    return np.minimum(n - p, m - q) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def set_pairs(key: np.ndarray, ids: np.ndarray, at: np.ndarray, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a bucket's rows (at is place << 32 | size) that may be similar, of different groups. Rows are sorted by key.
+
+    All pairs are looked at, small buckets side by side and others block by block.
+    """
+    found: list[np.ndarray] = []
+    place, size = at >> 32, at & 0xFFFFFFFF
+
+    def look(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = np.broadcast_arrays(i, j)
+        ok = (group[i] != group[j]) & _may(place[i], size[i], place[j], size[j], similarity)
+        a, b = ids[i[ok]], ids[j[ok]]
+        if len(a):
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.diff(np.r_[first, len(key)])
+    for s, e in zip(first[n > FEW].tolist(), (first + n)[n > FEW].tolist(), strict=True):
+        if (group[s:e] == group[s]).all():
+            continue
+        rows = s + np.argsort(size[s:e], kind="stable")
+        for i in range(0, len(rows), BLOCK):
+            x = rows[i : i + BLOCK]
+            for j in range(i, len(rows), BLOCK):
+                y = rows[j : j + BLOCK]
+                if size[y[0]] * similarity > size[x[-1]] + 1e-6:
+                    break
+                look(x[:, None], y[None, :])
+    end = np.repeat(first + n, n)
+    i = np.flatnonzero(np.repeat((n > 1) & (n <= FEW), n))
+    for shift in range(1, FEW):
+        i = i[i + shift < end[i]]
+        if not len(i):
+            break
+        look(i, i + shift)
+    if not found:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets, each sorted, reaches the given one."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared) >= similarity
+
+
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
+
+
+def _two(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _mix(h: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    """Another hash of h for each salt; salt 0 is h itself. Should two buckets fall together, only more pairs are looked at."""
+    x = h ^ (np.asarray(salt, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    y = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.where(np.asarray(salt) == 0, h, y ^ (y >> np.uint64(31)))
+
+
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key) of each row, the key that of its shingle set; then counts of hashes, in slices."""
+    counts = np.zeros(SLOTS, dtype=np.uint32)
+    names = ["doc_id", "key", "slice", "counts"]
+    for b in batches:
+        sets = shingle_sets(b.column(1).to_pylist(), WORDS)
+        for s in sets:
+            np.add.at(counts, s & np.uint64(SLOTS - 1), 1)
+        keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())], names)
+    if counts.any():
+        parts = pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), parts], names)
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(zlib.decompress(c), dtype=np.uint32)
+            total[k] = total[k] + x if k in total else x.astype(np.int64)
+    for k, x in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
+
+
+def _rep_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (rep, text, key) those whose text has the key: (rep, set)."""
+    for b in batches:
+        sets, keys = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), WORDS)], b.column(2).to_pylist()
+        ok = [len(s) > 0 and xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, keys, strict=True)]
+        out = pa.array([s for s, y in zip(sets, ok, strict=True) if y], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), out], ["rep", "set"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not len(b):
+            continue
+        sets, ids = _sets_of(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+        h = np.concatenate(sets)
+        starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+        for k in range(1, STARS + 1):
+            least = np.minimum.reduceat(_mix(h, k), starts)
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(least, k).view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, keep) of docs (doc_id, text): keep is true for the smallest doc_id of each near-duplicate group.
 
-    Shingles of five words; documents whose shingle sets have a Jaccard similarity of 0.8 or more are linked,
-    as far as 1024 bits tell: the limit lies 1.5 standard deviations above the expected distance. A segment of
-    20 bits comes within 1 bit for a quarter of such pairs, one of 16 segments for 99 in 100.
+    Shingles of five words, each once; documents whose shingle sets have a Jaccard similarity of 0.8 or more are
+    linked, all of them and no others. Every pair that is linked is compared by its sets.
+
+    Candidates come from prefixes: with a common order of shingles, similar sets share one of the first fifth of
+    both, and there the places tell how much more they can share. The order is by counts of hashes in SLOTS
+    counters, rare ones first, so buckets are small; any order gives the same links. Large groups are found first
+    by comparing each document with the smallest that has an equal least hash: pairs linked already need no look.
+    Buckets that may have more than BUCKET rows are cut, and each two of their parts meet in one place.
+
     Texts without a word form one group, as equal texts do. Rows that share a doc_id stay or go together.
-    Null doc_ids stay. In buckets of more than HOT rows, each part of the bucket is compared within itself
-    and with the bucket's first LEADERS rows.
+    Null doc_ids stay.
     """
     spark = docs.sparkSession
     for_python(spark)
-    share = expected_share(similarity)
-    limit = lambda bits: int(bits * share + 1.5 * (bits * share * (1 - share)) ** 0.5)
-    rough, most = limit(64) + 5, limit(64 * WIDTH)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    seen = cut(docs.mapInArrow(_count_shingles, "doc_id long, key binary, slice int, counts binary"))
+    fps = seen.where("key is not null").select("doc_id", "key")
+    slices = seen.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_add_counts, "slice int, counts binary")
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for r in slices.collect():
+        np.split(counts, SLICES)[r.slice][:] = np.frombuffer(r.counts, dtype=np.int64)
+    shared = spark.sparkContext.broadcast(counts)
+    reps = cut(fps.groupBy("key").agg(F.min("doc_id").alias("rep")))
+    texts = docs.join(reps, F.col("doc_id") == F.col("rep")).select("rep", "text", "key")
+    sets = cut(texts.mapInArrow(_rep_sets, "rep long, set binary"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = fingerprints(b.column(1).to_pylist(), WORDS, WIDTH)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in f], pa.binary())], ["doc_id", "bits"])
-
-    fps = cut(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, bits binary"))
-    reps = cut(fps.groupBy("bits").agg(F.min("doc_id").alias("rep")))
-
-    def ask(batches: Iterator[pa.RecordBatch], parts: range, own: bool = False) -> Iterator[pa.RecordBatch]:
+            if not len(b):
+                continue
+            ids, group, held = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), _sets_of(b.column(1))
+            size = np.array([len(s) for s in held], dtype=np.int64)
+            of, place, h = prefixes(held, shared.value, similarity)
+            parts = -(-shared.value[h & np.uint64(SLOTS - 1)] // BUCKET)
+            mine = (_mix(ids.astype(np.uint64), 7)[of] % parts.astype(np.uint64)).astype(np.int64)
+            for other in range(int(parts.max())):
+                i = np.flatnonzero(parts > other)
+                cell = np.minimum(mine[i], other) * parts[i] + np.maximum(mine[i], other)
+                cols = [_mix(h[i], cell).view(np.int64), ids[of[i]], place[i] << 32 | size[of[i]], group[of[i]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "at", "grp"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, dtype=np.int64)] * 4
         for b in batches:
-            ids, group = (b.column(n).to_numpy(zero_copy_only=False) for n in (0, 2))
-            words = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(-1, WIDTH)
-            bits = np.unpackbits(words[:, : PARTS * PART_BITS // 64].copy().view(np.uint8), axis=1, bitorder="little").reshape(len(words), PARTS, PART_BITS)
-            values = (bits.astype(np.uint64) << np.arange(PART_BITS, dtype=np.uint64)).sum(2)
-            check = words[:, PARTS * PART_BITS // 64] & ~np.uint64(1)
-            for p in parts:
-                for i, v, exact in ball(values[:, p], PART_BITS, 0 if own else 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64) | p << PART_BITS), pa.array(ids[i]), pa.array((check[i] | np.uint64(exact)).view(np.int64)), pa.array(group[i])], ["key", "id", "fp", "grp"])
+            rest = [np.concatenate([r, b.column(n).to_numpy(zero_copy_only=False)]) for n, r in enumerate(rest)]
+            stop = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+            if stop:
+                yield _two(*set_pairs(*(c[:stop] for c in rest), similarity))
+                rest = [c[stop:] for c in rest]
+        if len(rest[0]):
+            yield _two(*set_pairs(*rest, similarity))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), dtype=np.uint64).reshape(-1, WIDTH) for n in (2, 3))
-                ok = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
-                yield b.select(["a", "b"]).filter(ok)
-
-    left, right = reps.select(F.col("rep").alias("a"), F.col("bits").alias("x")), reps.select(F.col("rep").alias("b"), F.col("bits").alias("y"))
-    grouped, sure = reps.withColumn("grp", F.col("rep")), None
-    for parts in (range(FIRST_PARTS), range(FIRST_PARTS, PARTS)):  # what the first segments have linked is known in the others
-        entries, kind = grouped.select("rep", "bits", "grp"), "key long, id long, fp long, grp long"
-        rows = entries.mapInArrow(lambda x, parts=parts: ask(x, parts), kind)
-        links = bucket_links(_dealt(rows, entries.mapInArrow(lambda x, parts=parts: ask(x, parts, True), kind)), lambda k, f: (f & np.uint64(1)).astype(bool), rough)
-        pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        found = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
-        sure = found if sure is None else sure.unionAll(found)
-        comp = components(sure).withColumnRenamed("node", "rep")
-        grouped = reps.join(comp, "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
-    gone = reps.join(comp.where("rep <> component"), "rep", "left_semi").select("bits", F.lit(False).alias("first"))
-    marked = fps.join(reps, "bits").join(gone, "bits", "left")
+            ok = [similar(x, y, similarity) for x, y in zip(_sets_of(b.column(2)), _sets_of(b.column(3)), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+    checked = lambda pairs: cut(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    stars = sets.mapInArrow(_stars, "key long, id long").withColumn("a", F.min("id").over(Window.partitionBy("key")))
+    links = checked(stars.where("a <> id").select("a", F.col("id").alias("b")))
+    known = components(links).withColumnRenamed("node", "rep")
+    grouped = sets.join(known, "rep", "left").select("rep", "set", F.coalesce("component", "rep").alias("grp"))
+    rows = grouped.mapInArrow(ask, "key long, id long, at long, grp long")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    comp = components(links.unionAll(checked(pairs))).withColumnRenamed("node", "rep")
+    gone = comp.where("rep <> component").select("rep", F.lit(False).alias("first"))
+    marked = fps.join(reps, "key").join(gone, "rep", "left")
     return marked.select("doc_id", (F.coalesce("first", F.lit(True)) & (F.col("doc_id") == F.col("rep"))).alias("keep")).groupBy("doc_id").agg(F.max("keep").alias("keep"))
