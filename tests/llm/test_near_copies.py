@@ -34,3 +34,21 @@ def family(n, shared, own, start=0, tag="f"):
 def test_family_below_the_similarity_stays_whole(spark):
     rows = family(300, 244, 40)  # 240 shared shingles of 240 + 2 * 40: 0.75
     assert kept(spark, rows) == {i for i, _ in rows}
+
+
+def with_copies(rows, every=1, words=4):
+    """And copies of rows with some words changed in their own part, five shingles each."""
+    out = list(rows)
+    for i, t in rows[::every]:
+        w = t.split()
+        for k in range(words):
+            w[-8 - 10 * k] = f"c{i}x{k}"
+        out.append((1000 + i, " ".join(w)))
+    return out
+
+
+def test_buckets_are_compared_whole(spark, monkeypatch):
+    for name, value in (("HOT", 4), ("LEADERS", 1), ("BUCKET", 16)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rows = with_copies(family(240, 210, 50))  # 0.67 and 0.86
+    assert kept(spark, rows) == brute(rows) == set(range(240))
