@@ -52,3 +52,8 @@ def test_buckets_are_compared_whole(spark, monkeypatch):
         monkeypatch.setattr(simhash, name, value, raising=False)
     rows = with_copies(family(240, 210, 50))  # 0.67 and 0.86
     assert kept(spark, rows) == brute(rows) == set(range(240))
+
+
+def test_pairs_within_a_template_are_all_found(spark):
+    rows = with_copies(family(400, 210, 56), every=4)  # 0.65 and 0.86
+    assert kept(spark, rows) == brute(rows) == set(range(400))
