@@ -57,3 +57,21 @@ def test_buckets_are_compared_whole(spark, monkeypatch):
 def test_pairs_within_a_template_are_all_found(spark):
     rows = with_copies(family(400, 210, 56), every=4)  # 0.65 and 0.86
     assert kept(spark, rows) == brute(rows) == set(range(400))
+
+
+def test_every_pair_just_above_the_similarity_is_linked(spark):
+    rows = []
+    for n in range(200):  # 300 shingles, and the first 240 to 254 of them: 0.80 to 0.85; 239 stay apart
+        w = [f"p{n}x{i}" for i in range(304)]
+        rows += [(n, " ".join(w)), (1000 + n, " ".join(w[: 243 + n % 16]))]
+    assert kept(spark, rows) == brute(rows) == set(range(200)) | {1000 + n for n in range(0, 200, 16)}
+
+
+def test_random_edits_match_brute_force(spark):
+    rng, rows = np.random.default_rng(11), []
+    for n in range(300):
+        w = rows[int(rng.integers(0, n))][1].split() if n and rng.random() < 0.8 else [f"v{x}" for x in rng.integers(0, 3000, int(rng.integers(5, 250)))]
+        for at in rng.integers(0, len(w), int(rng.integers(0, 8))):
+            w[at] = f"v{rng.integers(0, 3000)}"
+        rows.append((n, " ".join(w[int(rng.integers(0, 10)) :] or w)))
+    assert kept(spark, rows) == brute(rows)
