@@ -75,3 +75,9 @@ def test_random_edits_match_brute_force(spark):
             w[at] = f"v{rng.integers(0, 3000)}"
         rows.append((n, " ".join(w[int(rng.integers(0, 10)) :] or w)))
     assert kept(spark, rows) == brute(rows)
+
+
+def test_repeated_lines_count_once(spark):
+    text, line = " ".join(f"w{i}" for i in range(300)), " ".join(f"r{i}" for i in range(12))
+    rows = [(1, text + " " + line), (2, text + " " + " ".join([line] * 10))]
+    assert kept(spark, rows) == brute(rows) == {1}
