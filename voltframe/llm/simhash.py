@@ -19,6 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -262,8 +263,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Counters of shingles by the low bits of their hash, given out in slices; rows of a bucket that meet in one place.
 WORDS, SIMILARITY, SLOTS, SLICES, BUCKET, BLOCK = 5, 0.8, 1 << 20, 64, 8192, 1024
-#: Least hashes by which large groups are found early.
-STARS = 8
+#: Least hashes by which large groups are found early. Bits by which sets that are not asked for stay where they are.
+STARS, MARKS = 8, 1 << 24
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -401,6 +402,37 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_mix(least, k).view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.astype(np.uint64), 3) % np.uint64(MARKS)).astype(np.int64)
+
+
+def marks_of(ids: DataFrame) -> Broadcast:
+    """A bit for each slot that some id of ids (id) has, of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS, dtype=bool)
+        for b in batches:
+            bits[_slot(b.column(0).to_numpy(zero_copy_only=False))] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+
+    total = np.zeros(MARKS // 8, dtype=np.uint8)
+    for r in ids.mapInArrow(run, "bits binary").toLocalIterator():
+        total |= np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(total)
+
+
+def marked_sets(sets: DataFrame, marks: Broadcast, inside: bool = True) -> DataFrame:
+    """Rows of sets (rep, set) whose slot has a mark, or all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _slot(b.column(0).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array((marks.value[at >> 3] >> (7 - (at & 7)) & 1 == 1) == inside, pa.bool_()))
+
+    return sets.mapInArrow(run, "rep long, set binary")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, keep) of docs (doc_id, text): keep is true for the smallest doc_id of each near-duplicate group.
 
@@ -461,12 +493,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             ok = [similar(x, y, similarity) for x, y in zip(_sets_of(b.column(2)), _sets_of(b.column(3)), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-    checked = lambda pairs: cut(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        some = marked_sets(sets, marks_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+        left, right = some.select(F.col("rep").alias("a"), F.col("set").alias("x")), some.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+
     stars = sets.mapInArrow(_stars, "key long, id long").withColumn("a", F.min("id").over(Window.partitionBy("key")))
     links = checked(stars.where("a <> id").select("a", F.col("id").alias("b")))
-    known = components(links).withColumnRenamed("node", "rep")
-    grouped = sets.join(known, "rep", "left").select("rep", "set", F.coalesce("component", "rep").alias("grp"))
+    known = cut(components(links).withColumnRenamed("node", "rep"))
+    marks = marks_of(known.select("rep"))
+    moved = marked_sets(sets, marks).join(known, "rep", "left").select("rep", "set", F.coalesce("component", "rep").alias("grp"))
+    grouped = moved.unionAll(marked_sets(sets, marks, False).select("rep", "set", F.col("rep").alias("grp")))
     rows = grouped.mapInArrow(ask, "key long, id long, at long, grp long")
     pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
     comp = components(links.unionAll(checked(pairs))).withColumnRenamed("node", "rep")
