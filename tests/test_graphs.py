@@ -103,3 +103,22 @@ def test_kmeans_separates_groups(spark):
     near = cluster.predict(p, c).select("id", "cluster")
     assert {x.cluster: x["count"] for x in near.groupBy("cluster").count().collect()} == {0: 30, 1: 30, 2: 30}
     assert cluster.silhouette(p.join(near, "id")).first().silhouette > 0.9
+
+
+def test_kmeans_takes_the_best_of_several_starts(spark):
+    r, ids = random.Random(3), sorted(range(100), key=lambda i: (i * 7919 % 10007, i))
+    rows = [(i, 100.0 * (n // 20) + r.random(), r.random()) for n, i in enumerate(ids)]  # the first of a hash are all in one group
+    p = spark.createDataFrame(rows, "id long, x double, y double").coalesce(1)
+    near = cluster.predict(p, cluster.kmeans(p, 5, runs=2))
+    assert near.selectExpr("sum(dist * dist) AS e").first().e < 100 and near.groupBy("cluster").count().count() == 5
+
+
+def test_relief_lines_handle_all_groups(spark, monkeypatch):
+    groups = spark.createDataFrame([(n, n) for n in range(30)], "node long, component long")
+    tree = spark.createDataFrame([(100, n, 1, 2.0) for n in range(30)] + [(100, 100, 0, 0.0)], "root long, node long, hops long, dist double")
+    monkeypatch.setattr(congestion, "mid_flow_groups", lambda *a: groups)
+    monkeypatch.setattr(congestion, "group_centres", lambda *a: groups.select("component", "node"))
+    monkeypatch.setattr(congestion, "bounds", lambda c, t: c.selectExpr("component", "node", "100L AS root", "5L AS hops"))
+    monkeypatch.setattr(congestion, "link_along_line", lambda left, right, e, p, d: left.selectExpr("node AS a", "100L AS b", "1.5D AS length"))
+    got = congestion.relief_lines(groups, tree, groups, tree).collect()
+    assert sorted((r.component, r.generator, r.a, r.b, r.length, r.cost) for r in got) == [(n, 100, n, 100, 1.5, 1.5) for n in range(30)]

@@ -234,7 +234,7 @@ def suppliers(s, d):
 
 @query("clu_1_kmeans")
 def _(s, d):
-    return cluster.kmeans(suppliers(s, d), 4).select("cluster", *r9("x", "y"))
+    return cluster.kmeans(T.points(s, d), 4).select("cluster", *r9("x", "y"))
 
 
 _CENTRES = "(VALUES (0, 2.0::DOUBLE, 2.0::DOUBLE), (1, 5.0::DOUBLE, 7.0::DOUBLE), (2, 8.0::DOUBLE, 3.0::DOUBLE)) AS c(cluster, cx, cy)"
@@ -307,6 +307,12 @@ def _(s, d):
     return congestion.link_along_line(left, right, t, T.points(s, d), 0.3).select("a", "b", *r9("length"))
 
 
+@query("cng_4_relief_lines")
+def _(s, d):
+    lines = congestion.relief_lines(flows(s, d), T.tree(s, d), T.points(s, d), search(s, d))
+    return lines.select("component", "generator", "a", "b", *r9("length", "cost"))
+
+
 def candidates(s, d):
     return T.mesh(s, d).where("id >= 2000000000 and length < 3.0").orderBy("id").limit(5)
 
