@@ -334,7 +334,7 @@ def _(s, d):
 
 @query("cng_8_corridors")
 def _(s, d):
-    p = traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 99)), customers(s, d, 10))
+    p = traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 99)), customers(s, d, 1))
     return congestion.corridor_links(p, one(s, 0), 8)
 
 
@@ -383,12 +383,12 @@ def _(s, d):
 
 @query("res_8_evenness")
 def _(s, d):
-    return resilience.resiliency(sub(s, d), "paths", 0.5)
+    return resilience.resiliency(T.mesh(s, d), "paths", 0.5)
 
 
 @query("res_9_10_estrada")
 def _(s, d):
-    return resilience.estrada(sub(s, d)).select("nodes", *r9("estrada"))
+    return resilience.estrada(T.mesh(s, d)).select("nodes", *r9("estrada"))
 
 
 @query("geo_1_smooth")
@@ -455,3 +455,65 @@ def _(s, d):
 @query("msc_9_line_details", "SELECT id, least(src, dst) AS low, greatest(src, dst) AS high, round(length, 9) AS length FROM mesh WHERE id % 100 = 1", "mesh")
 def _(s, d):
     return T.mesh(s, d).where("id % 100 = 1").select("id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), *r9("length"))
+
+
+# --- whole tables: queries whose SQL above takes a part of its table, without SQL ---
+
+
+@query("res_1_walks_whole")
+def _(s, d):
+    return resilience.walks(T.mesh(s, d), 2)
+
+
+@query("res_2_paths3_whole")
+def _(s, d):
+    return resilience.simple_paths3(T.mesh(s, d))
+
+
+@query("res_3_4_paths_from_whole")
+def _(s, d):
+    return resilience.paths_from(resilience.simple_paths3(T.mesh(s, d)))
+
+
+@query("res_5_paths_total_whole")
+def _(s, d):
+    return resilience.paths_total(resilience.simple_paths3(T.mesh(s, d)))
+
+
+@query("res_6_triangles_whole")
+def _(s, d):
+    return resilience.triangle_walks(T.mesh(s, d))
+
+
+@query("res_7_sigma_whole")
+def _(s, d):
+    return resilience.sigma(T.mesh(s, d), 0.5).select("node", *r9("sigma"))
+
+
+@query("cmp_9_line_colours_whole")
+def _(s, d):
+    return geometry.line_colours(T.polylines(s, d))
+
+
+@query("msc_9_line_details_whole")
+def _(s, d):
+    return T.mesh(s, d).select("id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), *r9("length"))
+
+
+@query("grf_11_13_paths_whole")
+def _(s, d):
+    p = traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 1)), customers(s, d, 1))
+    return p.select("target", F.array_join(F.col("edges").cast("array<string>"), ",").alias("edges"), "hops", *r9("length"))
+
+
+@query("agg_16_popularity_whole")
+def _(s, d):
+    from voltframe.operators import relational
+
+    return relational.popularity(traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 3)), customers(s, d, 1)))
+
+
+@query("srt_1_by_length_whole")
+def _(s, d):
+    places = components.numbered(T.mesh(s, d).select("id", "length"), ["length", "id"], "place")
+    return places.select("id", (F.col("place") + 1).cast("long").alias("place"))
