@@ -50,3 +50,22 @@ def test_operator_keeps_rows_and_columns(spark):
     got = bpe.bpe_encode(df).collect()
     assert sorted([(r.doc_id is None, r.bpe_decoded, len(r.bpe_ids)) for r in got]) == [(False, "", 0), (False, "a</w> b</w>", 2), (False, "a</w> b</w>", 2), (True, "", 0)]
     assert bpe.bpe_encode(df.where("false")).collect() == []
+
+
+def test_special_tokens_survive_turns_of_the_cache(spark):
+    path = bpe.default_path()
+    lib = Tokenizer.from_file(path)
+    rng = np.random.default_rng(4)
+    texts = [" ".join([f"w{rng.integers(0, 40)}" for _ in range(12)] + ["<|endoftext|>", "<|endoftext|>y", "x<|startoftext|>"][n % 3 :]) for n in range(60)]
+    for cache in (3, 20):
+        mine = bpe.Bpe(path, cache=cache)
+        for at in range(0, 60, 20):
+            got = mine.encode_all(texts[at : at + 20])
+            assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts[at : at + 20]]
+
+
+def test_digests_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (None, None, 1), (2, "", 2), (3, "word " * 60_000, 3)], "doc_id long, text string, n_tokens int")
+    got = sorted([(r.doc_id or 0, r.n_tokens) for r in bpe.bpe_digests(df).collect()])
+    assert got == [(0, 0), (1, 2), (1, 2), (2, 0), (3, 60_000)]
+    assert bpe.bpe_digests(df.where("false")).collect() == []

@@ -5,9 +5,10 @@ is held as a list of symbols with, beside it, the list of ranks of adjacent pair
 sought again and again, the boundary there is deleted, and the ranks of its two neighbours are refreshed.
 
 All words of one length that a batch of texts brings are merged side by side, as rows of arrays. Text is
-split at white space, and each chunk is encoded once per worker while it stays in a bounded cache: the
-normaliser (NFC, lower case) and the word pattern never reach across white space. Letters and digits are
-told apart by this Python's Unicode tables; for code points assigned lately the library's may differ.
+split at white space, and each chunk is encoded once per worker while it stays in a bounded cache of ids: the
+normaliser (NFC, lower case) and the word pattern never reach across white space. Special tokens are not in
+that cache. Letters and digits are told apart by this Python's Unicode tables; for code points assigned lately
+the library's may differ.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import for_python, table
+from .common import for_python, table, trimmed
 
 VOCABULARY = "word_bpe_49k.json"
 #: White space as Unicode has it; U+001C to U+001F, at which str.split() also splits, are not.
@@ -40,8 +42,8 @@ _END = "</w>"
 #: The rank of a pair that never merges.
 NONE = 1 << 30
 _STOPS = frozenset(",.;:!?")
-#: Chunks that one worker keeps; twice as many at most.
-CACHE = 120_000
+#: Chunks that one worker keeps, about 200 bytes each; twice as many at most.
+CACHE = 200_000
 #: Characters of the texts that are held as chunks at a time (a longer text goes alone).
 HELD = 1_000_000
 #: Words above this many symbols are merged with a heap and links, in n log n steps.
@@ -55,6 +57,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
 
 
+def _lowered(text: str) -> str:
+    return text.lower() if "Σ" not in text else "".join([x.lower() for x in text])  # no final sigma
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file.
 
@@ -68,7 +74,8 @@ class Bpe:
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.tokens = {i: t.encode() for t, i in [*self.ids.items(), *self.special.items()]}
+        self.marks = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
         pairs, merged = [], []
         for merge in spec["model"]["merges"]:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -82,8 +89,8 @@ class Bpe:
         self.first = np.array([self.ids[x] for x in letters], dtype=np.int32)
         self.last = np.array([self.ids[x + _END] for x in letters], dtype=np.int32)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.room = cache
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,29 +174,29 @@ class Bpe:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Encodes what stands between white space, all at once, and keeps it: ids as bytes, and tokens."""
+        """Encodes what stands between white space, all at once, and keeps the ids as bytes."""
         if len(self.known) > self.room:
             self.older, self.known = self.known, {}
         missing = []
         for c in chunks:
             if c in self.known:
                 continue
-            if found := self.older.get(c):
-                self.known[c] = found
-            else:
+            found = self.older.get(c)
+            if found is None:
                 missing.append(c)
+            else:
+                self.known[c] = found
         cut: list[tuple[str, list[str]]] = []
         for c in missing:
-            text = unicodedata.normalize("NFC", c)
-            text = text.lower() if "Σ" not in text else "".join([x.lower() for x in text])  # no final sigma
+            text = c.lower() if c.isascii() else _lowered(unicodedata.normalize("NFC", c))
             cut.append((c, [text] if text.isalpha() else [text[:-1], text[-1]] if text[-1:] in _STOPS and text[:-1].isalpha() else _PIECE.findall(text)))
         ids = self.encode_pieces([p for _, x in cut for p in x])
         for c, x in cut:
             own = ids[x[0]] if len(x) == 1 else [i for p in x for i in ids[p]]
-            self.known[c] = array("I", own).tobytes(), self.decode(own)
+            self.known[c] = array("I", own).tobytes()
 
-    def parts(self, texts: list[str | None]) -> list[list[tuple[bytes, str]]]:
-        """For each text the ids (as bytes) and tokens of its chunks in order."""
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as bytes. A null text has none."""
         cut = [self._chunks(t) if t else [] for t in texts]
         out, i = [], 0
         while i < len(cut):  # as many texts at a time as the cache has room for
@@ -197,6 +204,7 @@ class Bpe:
             while j < len(cut) and (j == i or len(chunks) < self.room):
                 chunks.update(cut[j])
                 j += 1
+            chunks.difference_update(self.marks)
             on = gc.isenabled()
             gc.disable()  # no cycles arise; else each collection walks the whole cache
             try:
@@ -204,47 +212,38 @@ class Bpe:
             finally:
                 if on:
                     gc.enable()
-            get = self.known.__getitem__
-            out += [[*map(get, x)] for x in cut[i:j]]
+            get, marks = self.known.__getitem__, self.marks
+            out += [b"".join(map(get, x)) if marks.keys().isdisjoint(x) else b"".join([marks.get(c) or get(c) for c in x]) for x in cut[i:j]]
             i = j
         return out
 
     def _chunks(self, text: str) -> list[str]:
         if self.split and any(s in text for s in self.special):
-            out = []
-            for x in self.split.split(text):
-                if x in self.special:
-                    self.known[x] = array("I", [self.special[x]]).tobytes(), x
-                    out.append(x)
-                else:
-                    out += self._plain(x)
-            return out
+            return [c for x in self.split.split(text) for c in ([x] if x in self.special else self._plain(x))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
         return _CHUNK.findall(text) if _ODD.search(text) else text.split()
 
     def encode(self, text: str | None) -> list[int]:
-        return array("I", b"".join([x[0] for x in self.parts([text])[0]])).tolist()
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.tokens[i] for i in ids])
+        return array("I", self.encode_all([text])[0]).tolist()
 
+    def decode_bytes(self, ids: array | list[int]) -> bytes:
+        return b" ".join(map(self.tokens.__getitem__, ids))
 
-def joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
-    """Ids and decoded text of a whole text from those of its chunks (a chunk may be without tokens)."""
-    return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[1]])
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_bytes(ids).decode()
 
 
-def encoded(bpe: Bpe, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-    """Ids and decoded text of each text, a few texts at a time."""
+def encoded(bpe: Bpe, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+    """Ids and decoded text (UTF-8) of each text, a few texts at a time."""
     at = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t or "") > HELD:
-            yield from map(joined, bpe.parts(texts[at:i]))
+            yield from ((x, bpe.decode_bytes(array("I", x))) for x in bpe.encode_all(texts[at:i]))
             at, size = i, 0
         size += len(t or "")
-    yield from map(joined, bpe.parts(texts[at:]))
+    yield from ((x, bpe.decode_bytes(array("I", x))) for x in bpe.encode_all(texts[at:]))
 
 
 @lru_cache(maxsize=2)
@@ -272,30 +271,35 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path or default_path())
-        for b in batches:
-            got = [*encoded(bpe, b.column(b.schema.get_field_index(text)).to_pylist())]
-            ids, said = [array("i", x[0]) for x in got], [x[1] for x in got]
-            offsets = pa.array([0, *_sums(map(len, ids))], pa.int32())
-            flat = pa.array(_flat(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat), pa.array(said, pa.string())], [*b.schema.names, "bpe_ids", "bpe_decoded"])
-
-    return docs.mapInArrow(run, schema)
+        for whole in batches:
+            at = whole.schema.get_field_index(text)
+            for b in pieces(whole, whole.column(at)):
+                got = [*encoded(bpe, b.column(at).to_pylist())]
+                offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x, _ in got)]), pa.int32())
+                flat = pa.array(np.frombuffer(b"".join([x for x, _ in got]), dtype=np.int32))
+                said = pa.array([x for _, x in got], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat), said], [*b.schema.names, "bpe_ids", "bpe_decoded"])
 
+    return docs.mapInArrow(trimmed(run), schema)
 
-def _sums(lengths) -> list[int]:
-    out, n = [], 0
-    for x in lengths:
-        n += x
-        out.append(n)
-    return out
 
-
-def _flat(arrays: list[array]) -> np.ndarray:
-    return np.frombuffer(b"".join([a.tobytes() for a in arrays]), dtype=np.int32)
+def pieces(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about HELD bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of whole texts, without carrying ids through Spark."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of whole texts, without carrying ids through Spark.
+
+    One row for each row of docs (doc_id, text). Null and empty texts: no tokens, digests of nothing. Repeated
+    rows and rows that share a doc_id or have none are each answered; an empty table gives no rows; further
+    columns are not looked at.
+    """
     for_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,11 +309,12 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             for raw, text in encoded(bpe, b.column(1).to_pylist()):
                 n.append(len(raw) // 4)
                 ids.append(sha256(raw).hexdigest())
-                said.append(sha256(text.encode()).hexdigest())
+                said.append(sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(said)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bpe_digests() of all documents; nulls, ties and empty tables as there."""
     return bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
