@@ -1,19 +1,20 @@
 """Toxic spans and documents by a linear-chain conditional random field.
 
-Labels mark whole documents, so tokens are labelled first: a word, or a prefix of it, that occurs in toxic
-training documents and as good as never in others marks its tokens as toxic. On these tokens a chain with the
-two states clean and toxic is trained (gradient of the log-likelihood by forward-backward). A document's
-score comes from its marginals: the expected number of toxic tokens, the probability that there is any, and
-their share, put through a logistic curve that is fitted to the labels.
-
-Tokens without a weighted feature all have the same potential, so runs of them are one power of a 2 x 2
-matrix, taken by its eigenvalues; forward and backward sums step only over the other tokens, exactly.
+Labels mark whole documents, so the labels of tokens are latent. A chain with the two states clean and toxic runs
+over all tokens; a token's potential is the sum of the weights of its features (the word, its beginnings and ends,
+its shape), and moves between the states have weights too. The model is fitted to the likelihood of the documents'
+labels: of a clean one that all tokens are clean, of a toxic one that one at least is not, with some noise in the
+labels. Its gradient is that of marginals given the label less free ones, from forward-backward sums. A document's
+score comes from its marginals: the expected number of toxic tokens, the probability that there is any, and their
+share, put through a logistic curve that is fitted to the labels.
+
+Forward and backward sums are ratios of the two states. All tokens of many documents are one sequence that is cut
+into equal stretches, which run side by side: first as products of matrices, then, from where each begins, as ratios.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,16 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import for_python, table
+from .common import for_python, table, trimmed
 
 #: The model is fitted to at most so many labelled rows of each kind, none of them longer than LONGEST characters.
 TOXIC_ROWS, CLEAN_ROWS, LONGEST = 3000, 5000, 20_000
-PREFIXES = (3, 4, 5, 6, 7)
-#: Tokens to either side of a toxic one that are trained on.
-AROUND = 5
+PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 5)
+#: A feature is known if it occurs in so many toxic documents, copies counted once.
+LEAST = 3
+#: Probability of a wrong label; weight of the penalties on features and on moves.
+NOISE, PENALTY, STILL = 0.02, 0.05, 5.0
+#: Share of a toxic document's tokens that say nothing in a round of training, so that others than the plainest are learnt.
+MUTED = 0.3
 THRESHOLD = 0.7
-#: Chunks of text whose potential a worker keeps.
-KEPT = 400_000
+#: Chunks of text whose potential a worker keeps; tokens that run side by side; tokens of a stretch.
+KEPT, SIDE, STRETCH = 400_000, 1 << 18, 256
 
 _CHUNK = re.compile(r"\S+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha()) + "«»“”‘’„…–—·¡¿"
@@ -43,13 +48,84 @@ def token(chunk: str) -> str:
     return chunk.lower().strip(_EDGES)
 
 
-def features(tok: str) -> list[str]:
-    return [f"={tok}", *(tok[:n] for n in PREFIXES if len(tok) > n)] if tok else []
+def features(chunk: str) -> list[str]:
+    """The word, beginnings and ends of it, and whether it is in capitals or has other signs inside."""
+    tok = token(chunk)
+    if not tok:
+        return ["#"]
+    out = [f"={tok}", *(tok[:n] for n in PREFIXES if len(tok) > n), *(f"-{tok[-n:]}" for n in SUFFIXES if len(tok) > n)]
+    if len(tok) > 1 and chunk.isupper():
+        out.append("#A")
+    if not tok.isalpha():
+        out.append("#+")
+    return out
+
+
+def _stretches(step: np.ndarray, first: np.ndarray, m: np.ndarray, begin: float) -> np.ndarray:
+    """The ratios r of a chain: r = step * begin where first, else step * (m01 + m11 r') / (m00 + m10 r') from the r' before."""
+    n = len(step)
+    size = min(STRETCH, max(1, n))
+    count = -(-n // size)
+    fill = count * size - n
+    e = np.concatenate([step, np.ones(fill)]).reshape(count, size).T.copy()
+    new = np.concatenate([first, np.ones(fill, dtype=bool)]).reshape(count, size).T.copy()
+    # products of the stretches' matrices: (v0, v1) goes to (v0 m00 + v1 m10, (v0 m01 + v1 m11) * step)
+    a, b, c, d = np.ones(count), np.zeros(count), np.zeros(count), np.ones(count)
+    some = new.any(1)
+    for j in range(size):
+        a, b = a * m[0, 0] + b * m[1, 0], (a * m[0, 1] + b * m[1, 1]) * e[j]
+        c, d = c * m[0, 0] + d * m[1, 0], (c * m[0, 1] + d * m[1, 1]) * e[j]
+        if some[j]:
+            at = new[j]
+            a[at] = c[at] = 1.0
+            b[at] = d[at] = e[j, at] * begin
+        if j % 4 == 3:
+            s = a + b + c + d
+            a, b, c, d = a / s, b / s, c / s, d / s
+    r, into = 0.0, np.empty(count)
+    for i, (a_, b_, c_, d_) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)):
+        into[i] = r
+        r = (b_ + r * d_) / (a_ + r * c_)
+    out = np.empty_like(e)
+    r = into
+    for j in range(size):
+        r = e[j] * (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r)
+        if some[j]:
+            r = np.where(new[j], e[j] * begin, r)
+        out[j] = r
+    return out.T.ravel()[:n]
+
+
+@dataclass
+class Sums:
+    """Of documents one after the other: ratios of forward and backward sums, and what follows from them."""
+
+    p: np.ndarray  # probability of toxic, for each token
+    clean: np.ndarray  # log-probability that no token is toxic, for each document
+    ahead: np.ndarray
+    after: np.ndarray
+
+
+def chain(x: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> Sums:
+    """x are the potentials of toxic of all tokens; documents of sizes[i] tokens begin as if after a clean token."""
+    m = np.exp(moves)
+    step = np.exp(np.clip(x, -30.0, 30.0))
+    first, last = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+    some = sizes > 0
+    ends = np.cumsum(sizes)
+    first[(ends - sizes)[some]] = True
+    last[ends[some] - 1] = True
+    ahead = _stretches(step, first, m, m[0, 1] / m[0, 0])
+    after = _stretches(step[::-1], last[::-1], m.T, 1.0)[::-1]  # backward ratios times step
+    odds = ahead * after / step
+    stay = -np.log1p(m[0, 1] / m[0, 0] * after)
+    total = np.r_[0.0, np.cumsum(stay)]
+    return Sums(odds / (1 + odds), np.minimum(total[ends] - total[ends - sizes], 0.0), ahead, after)
 
 
 @dataclass
 class Crf:
-    """Weights of features, the bias of toxic, and transitions; and the curve from a document's sums to its score."""
+    """Weights of features, the bias of toxic, and moves; and the curve from a document's sums to its score."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -6.0
@@ -60,210 +136,182 @@ class Crf:
     level: float = -2.0
 
     def __post_init__(self) -> None:
-        self.cache: dict[str, float | None] = {}
+        self.cache: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
     def prepare(self) -> None:
-        m = np.exp(self.moves) * np.array([1.0, np.exp(self.bias)])
-        values, vectors = np.linalg.eig(m)
-        order = np.argsort(-values.real)
-        self.second = float((values[order[1]] / values[order[0]]).real)
-        v = vectors[:, order].real
-        inverse = np.linalg.inv(v)
-        self.first_part, self.second_part = np.outer(v[:, 0], inverse[0]), np.outer(v[:, 1], inverse[1])
-        self.log_first = float(np.log(values[order[0]].real))
-        self.log_stay = float(self.moves[0, 0])
-
-    def potential(self, chunk: str) -> float | None:
-        """What a chunk adds to toxic, or None where no feature of it has a weight."""
-        found = [self.weights[f] for f in features(token(chunk)) if f in self.weights]
-        return sum(found) if found else None
-
-    def marked(self, text: str | None) -> tuple[int, list[int], list[float]]:
-        """Number of chunks; places and potentials of those with weighted features."""
-        chunks = text.split() if text else []
+        self.cache.clear()
+
+    def potential(self, chunk: str) -> float:
+        get = self.weights.get
+        return self.bias + sum([get(f, 0.0) for f in features(chunk)])
+
+    def potentials(self, chunks: list[str]) -> list[float]:
         cache = self.cache
         if len(cache) > KEPT:
             cache.clear()
         try:
-            got = [cache[c] for c in chunks]
+            return [cache[c] for c in chunks]
         except KeyError:
             for c in set(chunks).difference(cache):
                 cache[c] = self.potential(c)
-            got = [cache[c] for c in chunks]
-        at = [i for i, x in enumerate(got) if x is not None]
-        return len(got), at, [got[i] for i in at]
-
-    def _run(self, n: int) -> np.ndarray:
-        """The matrix of n tokens without weights, over its first eigenvalue's power."""
-        return self.first_part + self.second_part * self.second**n
+            return [cache[c] for c in chunks]
 
     def marginals(self, n: int, at: list[int], extra: list[float]) -> tuple[np.ndarray, float]:
-        """Probabilities of toxic at the given places, and the log-probability that no token is toxic."""
-        if not at:
-            if not n:
-                return np.empty(0), 0.0
-            z = np.array([1.0, 0.0]) @ self._run(n) @ np.ones(2)
-            return np.empty(0), min(0.0, n * (self.log_stay - self.log_first) - float(np.log(z)))
-        steps = [self._run(1) * np.array([1.0, np.exp(x)]) for x in extra]
-        gaps = [self._run(b - a - 1) if b - a > 1 else None for a, b in zip([-1, *at], [*at, n], strict=True)]
-        ahead, v, log_z = [], np.array([1.0, 0.0]), 0.0  # the chain starts as if after a clean token
-        for gap, step in zip(gaps, steps, strict=False):
-            v = (v @ gap if gap is not None else v) @ step
-            s = v.sum()
-            v, log_z = v / s, log_z + float(np.log(s))
-            ahead.append(v)
-        back = np.ones(2)
-        p = np.empty(len(at))
-        for i in range(len(at) - 1, -1, -1):
-            back = gaps[i + 1] @ back if gaps[i + 1] is not None else back
-            q = ahead[i] * back
-            if i == len(at) - 1:
-                log_z += float(np.log(q.sum()))
-            p[i] = q[1] / q.sum()
-            back = steps[i] @ back
-            back /= back.sum()
-        return p, min(0.0, n * (self.log_stay - self.log_first) - log_z)
-
-    def sums(self, n: int, p: np.ndarray, none: float) -> np.ndarray:
-        expected = float(p.sum())
-        return np.array([np.log(1e-4 + expected), np.log(1e-4 - np.expm1(none)), np.log(1e-5 + expected / max(n, 1))])
+        """Probabilities of toxic at the given places of n tokens, which add extra to the bias; and the log-probability that none is toxic."""
+        x = np.full(n, self.bias)
+        np.add.at(x, at, extra)
+        s = chain(x, np.array([n]), self.moves)
+        return s.p[at], float(s.clean[0])
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
+        """For each text its score, and (start, end, probability) of chunks more likely toxic than not, in code points."""
+        held: list[list[float]] = []
+        at = size = 0
+        for i, t in enumerate(texts):
+            held.append(self.potentials(t.split()) if t else [])
+            size += len(held[-1])
+            if size >= SIDE or i == len(texts) - 1:
+                yield from self._scored(texts[at : i + 1], held)
+                held, at, size = [], i + 1, 0
+
+    def _scored(self, texts: list[str | None], held: list[list[float]]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
+        sizes = np.array([len(x) for x in held])
+        s = chain(np.array([v for x in held for v in x]), sizes, self.moves)
+        score = self.curved(sums(s, sizes))
+        hot, ends = np.flatnonzero(s.p > 0.5), np.cumsum(sizes)
+        per = np.searchsorted(hot, np.r_[0, ends])
+        for i, t in enumerate(texts):
+            spans: list[tuple[int, int, float]] = []
+            if per[i] < per[i + 1]:
+                where = {int(k - (ends[i] - sizes[i])): float(s.p[k]) for k in hot[per[i] : per[i + 1]]}
+                place = 0
+                for j, c in enumerate(t.split()):
+                    place = t.index(c, place)
+                    if j in where:
+                        inner = c.strip(_EDGES) or c
+                        a = place + c.index(inner)
+                        spans.append((a, a + len(inner), where[j]))
+                    place += len(c)
+            yield float(score[i]), spans
+
+    def curved(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((x - self.mean) / self.scale @ self.curve + self.level, -30, 30)))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Score of a text, and (start, end, probability) of chunks more likely toxic than not, in code points."""
-        n, at, extra = self.marked(text)
-        p, none = self.marginals(n, at, extra)
-        x = (self.sums(n, p, none) - self.mean) / self.scale
-        spans: list[tuple[int, int, float]] = []
-        if (p > 0.5).any():
-            where = {i: float(q) for i, q in zip(at, p.tolist(), strict=True) if q > 0.5}
-            place = 0
-            for i, c in enumerate(text.split()):
-                place = text.index(c, place)
-                if i in where:
-                    inner = c.strip(_EDGES) or c
-                    s = place + c.index(inner)
-                    spans.append((s, s + len(inner), where[i]))
-                place += len(c)
-        return float(1 / (1 + np.exp(-np.clip(x @ self.curve + self.level, -30, 30)))), spans
-
-
-def _lexicon(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features that mark toxic tokens: near exclusive to toxic documents, and common there or the only mark of some.
-
-    Copies of a document count once: documents are known by the least hash of their three-word shingles.
-    """
+        return next(self.scores([text]))
+
+
+def sums(s: Sums, sizes: np.ndarray) -> np.ndarray:
+    """Of each document: expected toxic tokens, the probability of any, and the share, as logarithms."""
+    total, ends = np.r_[0.0, np.cumsum(s.p)], np.cumsum(sizes)
+    expected = np.maximum(total[ends] - total[ends - sizes], 0.0)
+    return np.stack([np.log(1e-4 + expected), np.log(1e-4 - np.expm1(s.clean)), np.log(1e-5 + expected / np.maximum(sizes, 1))], axis=1)
+
+
+def gradient(x: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, moves: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the log-likelihood of the documents' labels: by the tokens' potentials, by the moves; and the likelihood."""
+    s = chain(x, sizes, moves)
+    none, some = np.exp(s.clean), -np.expm1(s.clean)
+    right = np.where(toxic, (1 - NOISE) * some + NOISE * none, (1 - NOISE) * none + NOISE * some)
+    pull = np.where(toxic, 1.0, -1.0) * (1 - 2 * NOISE) * none / right * weight
+    each = np.repeat(pull, sizes)
+    m = np.exp(moves)
+    first = np.zeros(len(x), dtype=bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    before = np.where(first, 0.0, np.r_[0.0, s.ahead[:-1]])
+    pairs = np.stack([np.full(len(x), m[0, 0]), m[0, 1] * s.after, before * m[1, 0], before * m[1, 1] * s.after])
+    pairs /= pairs.sum(0)
+    pairs[0] -= 1.0  # less those of the path without a toxic token
+    return each * s.p, (pairs * each).sum(1).reshape(2, 2), float((np.log(right) * weight).sum())
+
+
+def _once(docs: list[list[str]], toxic: np.ndarray) -> list[int]:
+    """Copies of a document count once: documents are known by the least hash of their three-word shingles."""
     firsts: dict[int, int] = {}
     for i, d in enumerate(docs):
         h = min((xxhash.xxh32_intdigest(" ".join(d[j : j + 3]), 7) for j in range(max(1, len(d) - 2))), default=0)
         firsts.setdefault(h * 2 + int(toxic[i]), i)
-    once = sorted(firsts.values())
-    holds: dict[str, set[int]] = defaultdict(set)
-    for i in once:
-        if toxic[i]:
-            for f in {f for t in set(docs[i]) for f in features(t)}:
-                holds[f].add(i)
-    bad = Counter({f: len(x) for f, x in holds.items() if len(x) > 1})
-    holds = {f: holds[f] for f in bad}
-    good: Counter = Counter()
-    for i in once:
-        if not toxic[i]:
-            good.update({f for t in set(docs[i]) for f in features(t) if f in bad})
-    n_bad, n_good = max(1, sum(bool(toxic[i]) for i in once)), max(1, sum(not toxic[i] for i in once))
-    pure = {f for f, n in bad.items() if n >= 2 and good[f] <= 0.02 * n * n_good / n_bad and good[f] < n}
-    picked = {f for f in pure if bad[f] >= max(5, 0.02 * n_bad)}
-    picked = {f for f in picked if f[0] == "=" or not any(f[:n] in picked for n in PREFIXES if n < len(f))}
-    picked = {f for f in picked if f[0] != "=" or not any(f[1 : n + 1] in picked for n in PREFIXES if len(f) - 1 > n)}
-    left = {i for i in once if toxic[i]}.difference(*(holds[f] for f in picked))
-    while left:
-        best = max(pure, key=lambda f: (len(holds[f] & left), bad[f], f), default=None)
-        if best is None or len(holds[best] & left) < 2:
-            break
-        picked.add(best)
-        left -= holds[best]
-    return picked
-
-
-def fit(texts: list[str], toxic: list[int], rounds: int = 80) -> Crf:
+    return sorted(firsts.values())
+
+
+def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Crf:
     """A model for labelled texts. Without texts of both kinds every score is the share of toxic ones (0.1 without any text)."""
     y = np.array(toxic, dtype=bool)
     crf = Crf()
     if not len(y) or y.all() or not y.any():
         share = float(y.mean()) if len(y) else 0.1
         crf.level = float(np.log((share + 0.01) / (1.01 - share)))
-        crf.prepare()
         return crf
-    same: dict[str, str] = {}
-    tokens: dict[str, str] = {}
-    docs = []
-    for t in texts:  # one string for each token, however often it occurs
-        chunks = t.split()
-        for c in set(chunks).difference(tokens):
-            x = token(c)
-            tokens[c] = same.setdefault(x, x)
-        docs.append([tokens[c] for c in chunks])
-    del tokens
-    lexicon = _lexicon(docs, y)
-    names = sorted(lexicon)
-    number = {f: n for n, f in enumerate(names)}
-    # windows: (tokens x up to three features), labels
-    size, rng = 2 * AROUND + 1, np.random.default_rng(11)
-    rows, marks = [], []
-    for d, bad in zip(docs, y.tolist(), strict=True):
-        hits = [[number[f] for f in features(t) if f in number] for t in d]
-        centres = [i for i, h in enumerate(hits) if h] if bad else []
-        if len(centres) > 8:
-            centres = [centres[i] for i in rng.choice(len(centres), 8, replace=False)]
-        centres += rng.integers(0, max(1, len(d)), size=3).tolist()
-        for c in centres:
-            own = [hits[i] if 0 <= i < len(d) else [] for i in range(c - AROUND, c + AROUND + 1)]
-            rows.append(own)
-            marks.append([int(bad and bool(h)) for h in own])
-    x = np.full((len(rows), size, 3), len(names), dtype=np.int64)
-    for i, r in enumerate(rows):
-        for j, h in enumerate(r):
-            x[i, j, : len(h[:3])] = h[:3]
-    z = np.array(marks)
-    w, bias, moves = np.zeros(len(names) + 1), -4.0, np.zeros((2, 2))
+    number: dict[str, int] = {}
+    docs = [t.split() for t in texts]
+    ids = [np.array([number.setdefault(c, len(number)) for c in d], dtype=np.int32) for d in docs]
+    once = _once(docs, y)
+    del docs
+    # features that LEAST toxic documents have, as entries (chunk, feature)
+    bad = [i for i in once if y[i]]
+    in_bad = np.zeros(len(number), dtype=bool)
+    for i in bad:
+        in_bad[ids[i]] = True
+    names: dict[str, int] = {}
+    chunk_of, feature_of = [], []
+    for c, n in number.items():
+        if in_bad[n]:
+            own = [names.setdefault(f, len(names)) for f in features(c)]
+            chunk_of += [n] * len(own)
+            feature_of += own
+    starts = np.searchsorted(chunk_of, np.arange(len(number) + 1))
+    feature_of = np.array(feature_of, dtype=np.int64)
+    times = np.zeros((2, len(names)))
+    for i in bad:
+        u = np.unique(ids[i])
+        times[1][np.unique(np.concatenate([feature_of[starts[k] : starts[k + 1]] for k in u]))] += 1 if len(u) else 0
+    known = times[1] >= LEAST
+    again = np.cumsum(known) - 1
+    names = {f: int(again[n]) for f, n in names.items() if known[n]}
+    chunk_of, feature_of = [], []
+    for c, n in number.items():
+        own = [names[f] for f in features(c) if f in names]
+        chunk_of += [n] * len(own)
+        feature_of += own
+    chunk_of, feature_of = np.array(chunk_of, dtype=np.int64), np.array(feature_of, dtype=np.int64)
+    starts = np.searchsorted(chunk_of, np.arange(len(number) + 1))
+    times = np.zeros((2, len(names)))
+    for i in once:
+        u = np.unique(ids[i])
+        own = [feature_of[starts[k] : starts[k + 1]] for k in u]
+        if own:
+            times[int(y[i])][np.unique(np.concatenate(own))] += 1
+    n_bad, n_good = len(bad), len(once) - len(bad)
+    odds = np.log((times[1] + 0.5) / (n_bad + 1)) - np.log((times[0] + 0.5) / (n_good + 1))
+    w, bias, moves = np.clip(odds, -1.0, 3.0) * 0.5, -6.0, np.array([[0.5, -0.5], [0.0, 0.0]])
+    flat = np.concatenate([ids[i] for i in once])
+    sizes = np.array([len(ids[i]) for i in once])
+    weight = np.where(y[once], n_good / max(1, n_bad), 1.0) ** 0.5
+    in_toxic, rng = np.repeat(y[once], sizes), np.random.default_rng(11)
     state = [np.zeros(len(w) + 5), np.zeros(len(w) + 5)]
-    for step in range(1, rounds + 1):  # Adam on the penalised likelihood
-        e = np.zeros((len(x), size, 2))
-        e[:, :, 1] = w[x].sum(2) + bias
-        ahead = np.empty_like(e)
-        ahead[:, 0] = e[:, 0] + moves[0]
-        for t in range(1, size):
-            ahead[:, t] = e[:, t] + np.logaddexp(ahead[:, t - 1, :1] + moves[0], ahead[:, t - 1, 1:] + moves[1])
-        back = np.zeros_like(e)
-        g_moves = np.zeros((2, 2))
-        log_z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])[:, None, None]
-        for t in range(size - 1, 0, -1):
-            nxt = e[:, t] + back[:, t]
-            pair = np.exp(ahead[:, t - 1, :, None] + moves[None] + nxt[:, None, :] - log_z)
-            true = np.zeros((2, 2))
-            np.add.at(true, (z[:, t - 1], z[:, t]), 1)
-            g_moves += true - pair.sum(0)
-            back[:, t - 1] = np.logaddexp(moves[None, :, 0] + nxt[:, :1], moves[None, :, 1] + nxt[:, 1:])
-        p = np.exp(ahead[:, :, 1] + back[:, :, 1] - log_z[:, :, 0])
-        miss = z - p
-        g_w = np.bincount(x.ravel(), np.repeat(miss.ravel(), 3), minlength=len(w))
-        g = np.concatenate([g_w - 0.02 * w, [miss.sum()], g_moves.ravel() - 0.02 * moves.ravel()]) / len(x)
+    for r in range(1, rounds + 1):  # Adam on the penalised likelihood
+        u = bias + np.bincount(chunk_of, w[feature_of], minlength=len(number))
+        x, mute = u[flat], in_toxic & (rng.random(len(flat)) < MUTED)
+        x[mute] = -20.0
+        by_token, by_move, _ = gradient(x, sizes, y[once], moves, weight)
+        by_token[mute] = 0.0
+        by_chunk = np.bincount(flat, by_token, minlength=len(number))
+        by_weight = np.bincount(feature_of, by_chunk[chunk_of], minlength=len(w)) - PENALTY * w
+        g = np.concatenate([by_weight, [by_token.sum()], by_move.ravel() - STILL * moves.ravel()])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
-        move = 0.3 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-        w += move[: len(w)]
-        w[-1] = 0.0
-        bias += move[len(w)]
-        moves = moves + move[len(w) + 1 :].reshape(2, 2)
-    crf.weights = {f: float(v) for f, v in zip(names, w, strict=False)}
+        move = 0.15 * (state[0] / (1 - 0.9**r)) / (np.sqrt(state[1] / (1 - 0.99**r)) + 1e-8)
+        w = w + move[: len(w)]
+        bias = min(bias + float(move[len(w)]), -2.0)
+        moves = np.clip(moves + move[len(w) + 1 :].reshape(2, 2), -3.0, 3.0)
+    crf.weights = {f: float(w[n]) for f, n in names.items()}
     crf.bias, crf.moves = float(bias), moves
-    crf.prepare()
-    s = []
-    for t in texts:
-        n, at, extra = crf.marked(t)
-        s.append(crf.sums(n, *crf.marginals(n, at, extra)))
-    s = np.array(s)
+    u = bias + np.bincount(chunk_of, w[feature_of], minlength=len(number))
+    every = np.array([len(x) for x in ids])
+    s = sums(chain(u[np.concatenate(ids)], every, moves), every)
     crf.mean, crf.scale = s.mean(0), s.std(0) + 1e-6
     s = (s - crf.mean) / crf.scale
     curve, level = np.zeros(3), 0.0
@@ -304,14 +352,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, crf: Crf | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [crf.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            got = [*crf.scores(b.column(b.schema.get_field_index("text")).to_pylist())]
             spans = pa.array([",".join(f"{s}:{e}" for s, e, _ in x[1]) for x in got], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.float64()), spans], [*b.schema.names, "toxic_score", "toxic_spans"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_toxicity() of all documents, learnt from labels of those that are not held out; null doc_ids are not held out."""
     scored = score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"), F.col("toxic_spans").alias("spans"))
