@@ -7,20 +7,23 @@ weighted by its logistic loss; texts whose two nearest codewords are close are f
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import for_python, table
 
-#: The model is fitted to at most ROWS labelled rows, EACH at most of a language, none longer than LONGEST characters,
-#: and knows the MOST_LANGUAGES most frequent languages.
-ROWS, EACH, LONGEST, MOST_LANGUAGES = 4000, 1000, 20_000, 400
+#: The model is fitted to at most ROWS labelled rows, EACH at most of a language and one at least, none longer than
+#: LONGEST characters. (So it knows ROWS languages at most, the most frequent ones.)
+ROWS, EACH, LONGEST = 4000, 1000, 20_000
+#: Texts that are classified side by side.
+SIDE = 128
 DIMENSIONS = 1 << 13
 #: Texts whose best language has less than this lead in probability are ambiguous.
 LEAD = 0.2
@@ -52,7 +55,7 @@ def codewords(n: int) -> np.ndarray:
         splits = [[1, *(1 if s >> i & 1 else -1 for i in range(n - 1))] for s in range(2 ** (n - 1) - 1)] if n > 1 else [[1]]
         return np.array(splits, dtype=float).T
     rng, best, gap = np.random.default_rng(3), None, -1
-    for _ in range(60):
+    for _ in range(60 if n <= 400 else 5):
         code = rng.choice([-1.0, 1.0], size=(n, int(10 * np.ceil(np.log2(n)))))
         apart = code.shape[1] - (code @ code.T)
         np.fill_diagonal(apart, np.inf)
@@ -73,19 +76,23 @@ class Model:
         out = [(UNDETERMINED, 0.0, True)] * len(texts)
         if not self.languages:
             return out
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-        if not some:
-            return out
-        margins = np.stack([ngrams(texts[i]) for i in some]) @ self.weights + self.level
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(2)
-        p = np.exp(loss.min(1, keepdims=True) - loss)
-        p /= p.sum(1, keepdims=True)
-        for i, row in zip(some, p, strict=True):
-            best = int(row.argmax())
-            second = float(np.delete(row, best).max()) if len(row) > 1 else 0.0
-            out[i] = self.languages[best], float(row[best]), bool(row[best] - second < LEAD)
+        all_ = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        for at in range(0, len(all_), SIDE):
+            some = all_[at : at + SIDE]
+            loss = self.losses(np.stack([ngrams(texts[i]) for i in some]) @ self.weights + self.level)
+            p = np.exp(loss.min(1, keepdims=True) - loss)
+            p /= p.sum(1, keepdims=True)
+            for i, row in zip(some, p, strict=True):
+                best = int(row.argmax())
+                second = float(np.delete(row, best).max()) if len(row) > 1 else 0.0
+                out[i] = self.languages[best], float(row[best]), bool(row[best] - second < LEAD)
         return out
 
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """For each text (its bits' margins) and language the logistic losses of the bits of the language's codeword, summed up."""
+        plus = (self.code > 0).astype(float).T
+        return np.logaddexp(0, -margins) @ plus + np.logaddexp(0, margins) @ (1 - plus)
+
 
 def fit(texts: list[str], languages: list[str], rounds: int = 200) -> Model:
     """One logistic classifier for each bit of the code, all trained side by side (Nesterov steps)."""
@@ -115,13 +122,18 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Bounded training rows: crc32(doc_id as text) mod 4 is not 2, lang known, picked by a hash of doc_id."""
     rows = docs.where("doc_id is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     rows = rows.where((F.length("text") <= LONGEST) & F.col("text").rlike(r"\p{L}"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ROWS).collect()
     if not top:
         return [], []
     each = min(EACH, max(1, ROWS // len(top)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin([r.lang for r in top])).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id").distinct()
-    ids = docs.sparkSession.createDataFrame(picked.collect(), "doc_id long")
+    # the rows of least hashes of each language; what lies below a bound holds them, about twice as many as are needed
+    bounds = [(r.lang, 2**63 - 1 if r["count"] <= 4 * each else -(2**63) + int(2**64 * (2 * each + 20) / r["count"])) for r in top]
+    below = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long")), "lang").where("h <= most")
+    near: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for r in below.select("lang", "h", "doc_id").collect():
+        near[r.lang].append((r.h, r.doc_id))
+    picked = {i for x in near.values() for _, i in sorted(x)[:each]}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(picked)], "doc_id long")
     got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").collect()
     got.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return [r.text for r in got], [r.lang for r in got]
@@ -149,6 +161,7 @@ def identify_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify_language() of all documents, learnt from those that are not held out; null doc_ids are not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = identify_language(docs.select("doc_id", "text"), fit(*sample(docs)))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
