@@ -59,9 +59,9 @@ def _(s, d):
     return traverse.median_node(T.tree(s, d), one(s, 0))
 
 
-@query("grf_11_13_paths", f"+{ADJ}, {walk('SELECT 1::BIGINT AS node', True)} SELECT node AS target, array_to_string(path, ',') AS edges, hops, round(dist, 9) AS length FROM walk WHERE node < 1000000000 AND node % 100 = 7", "tree", recursive=True)
+@query("grf_11_13_paths", f"+{ADJ}, {walk('SELECT 1::BIGINT AS node', True)} SELECT node AS target, array_to_string(path, ',') AS edges, hops, round(dist, 9) AS length FROM walk WHERE node < 1000000000", "tree", recursive=True)
 def _(s, d):
-    p = traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 1)), customers(s, d, 100, 7))
+    p = traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 1)), customers(s, d, 1))
     return p.select("target", F.array_join(F.col("edges").cast("array<string>"), ",").alias("edges"), "hops", *r9("length"))
 
 
@@ -153,9 +153,9 @@ def _(s, d):
     return components.spanning_forest(e).select("src", "dst")
 
 
-@query("cmp_9_line_colours", "+pts AS (SELECT DISTINCT line, x, y FROM polylines WHERE line < 60), col(line, colour) USING KEY (line) AS (SELECT DISTINCT line, line FROM pts UNION (SELECT b.line, min(c.colour) FROM col c JOIN pts a ON a.line = c.line JOIN pts b ON a.x = b.x AND a.y = b.y LEFT JOIN recurring.col r ON r.line = b.line WHERE c.colour < r.colour GROUP BY b.line)) SELECT line, colour FROM col", "polylines", recursive=True)
+@query("cmp_9_line_colours", "+pts AS (SELECT DISTINCT line, x, y FROM polylines), col(line, colour) USING KEY (line) AS (SELECT DISTINCT line, line FROM pts UNION (SELECT b.line, min(c.colour) FROM col c JOIN pts a ON a.line = c.line JOIN pts b ON a.x = b.x AND a.y = b.y LEFT JOIN recurring.col r ON r.line = b.line WHERE c.colour < r.colour GROUP BY b.line)) SELECT line, colour FROM col", "polylines", recursive=True)
 def _(s, d):
-    return geometry.line_colours(T.polylines(s, d).where("line < 60"))
+    return geometry.line_colours(T.polylines(s, d))
 
 
 @query("flow_edges", f"{FLOW} SELECT edge, round(flow, 9) AS flow, round(loss, 9) AS loss FROM flows", "sources", "tree", recursive=True)
@@ -338,16 +338,12 @@ def _(s, d):
     return congestion.corridor_links(p, one(s, 0), 8)
 
 
-_SUB = "+sub AS (SELECT src AS a, dst AS b FROM mesh WHERE src < 300 AND dst < 300 AND src <> dst), u AS (SELECT a AS i, b AS j FROM sub UNION SELECT b, a FROM sub)"
-
-
-def sub(s, d):
-    return T.mesh(s, d).where("src < 300 and dst < 300")
+_SUB = "+sub AS (SELECT src AS a, dst AS b FROM mesh WHERE src <> dst), u AS (SELECT a AS i, b AS j FROM sub UNION SELECT b, a FROM sub)"
 
 
 @query("res_1_walks", f"{_SUB} SELECT x.i, y.j, count(*) AS v FROM u x JOIN u y ON x.j = y.i GROUP BY 1, 2", "mesh")
 def _(s, d):
-    return resilience.walks(sub(s, d), 2)
+    return resilience.walks(T.mesh(s, d), 2)
 
 
 _P3 = f"{_SUB}, p3 AS (SELECT a.i, c.j, count(*) AS v FROM u a JOIN u b ON b.i = a.j AND b.j <> a.i JOIN u c ON c.i = b.j AND c.j <> a.i AND c.j <> a.j GROUP BY 1, 2)"
@@ -355,17 +351,17 @@ _P3 = f"{_SUB}, p3 AS (SELECT a.i, c.j, count(*) AS v FROM u a JOIN u b ON b.i =
 
 @query("res_2_paths3", f"{_P3} SELECT i, j, v FROM p3", "mesh")
 def _(s, d):
-    return resilience.simple_paths3(sub(s, d))
+    return resilience.simple_paths3(T.mesh(s, d))
 
 
 @query("res_3_4_paths_from", f"{_P3} SELECT i AS node, sum(v)::BIGINT AS paths FROM p3 GROUP BY i", "mesh")
 def _(s, d):
-    return resilience.paths_from(resilience.simple_paths3(sub(s, d)))
+    return resilience.paths_from(resilience.simple_paths3(T.mesh(s, d)))
 
 
 @query("res_5_paths_total", f"{_P3} SELECT sum(v)::BIGINT AS paths FROM p3 WHERE i <= j", "mesh")
 def _(s, d):
-    return resilience.paths_total(resilience.simple_paths3(sub(s, d)))
+    return resilience.paths_total(resilience.simple_paths3(T.mesh(s, d)))
 
 
 _TRI = "tri AS (SELECT a.i AS node, count(*) AS closed FROM u a JOIN u b ON b.i = a.j JOIN u c ON c.i = b.j AND c.j = a.i GROUP BY 1)"
@@ -373,12 +369,12 @@ _TRI = "tri AS (SELECT a.i AS node, count(*) AS closed FROM u a JOIN u b ON b.i
 
 @query("res_6_triangles", f"{_SUB}, {_TRI} SELECT node, closed FROM tri", "mesh")
 def _(s, d):
-    return resilience.triangle_walks(sub(s, d))
+    return resilience.triangle_walks(T.mesh(s, d))
 
 
 @query("res_7_sigma", f"{_P3}, {_TRI}, t AS (SELECT i, sum(v) AS v FROM p3 GROUP BY i) SELECT n.i AS node, round(0.5 * coalesce(t.v * t.v / (SELECT sum(v) FROM p3 WHERE i <= j), 0) + 0.5 * coalesce(closed / ((SELECT sum(closed) FROM tri) / 3.0::DOUBLE), 0), 9) AS sigma FROM (SELECT DISTINCT i FROM u) n LEFT JOIN t ON t.i = n.i LEFT JOIN tri ON tri.node = n.i", "mesh")
 def _(s, d):
-    return resilience.sigma(sub(s, d), 0.5).select("node", *r9("sigma"))
+    return resilience.sigma(T.mesh(s, d), 0.5).select("node", *r9("sigma"))
 
 
 @query("res_8_evenness")
@@ -452,68 +448,6 @@ def _(s, d):
     return n.join(e).join(x)
 
 
-@query("msc_9_line_details", "SELECT id, least(src, dst) AS low, greatest(src, dst) AS high, round(length, 9) AS length FROM mesh WHERE id % 100 = 1", "mesh")
-def _(s, d):
-    return T.mesh(s, d).where("id % 100 = 1").select("id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), *r9("length"))
-
-
-# --- whole tables: queries whose SQL above takes a part of its table, without SQL ---
-
-
-@query("res_1_walks_whole")
-def _(s, d):
-    return resilience.walks(T.mesh(s, d), 2)
-
-
-@query("res_2_paths3_whole")
-def _(s, d):
-    return resilience.simple_paths3(T.mesh(s, d))
-
-
-@query("res_3_4_paths_from_whole")
-def _(s, d):
-    return resilience.paths_from(resilience.simple_paths3(T.mesh(s, d)))
-
-
-@query("res_5_paths_total_whole")
-def _(s, d):
-    return resilience.paths_total(resilience.simple_paths3(T.mesh(s, d)))
-
-
-@query("res_6_triangles_whole")
-def _(s, d):
-    return resilience.triangle_walks(T.mesh(s, d))
-
-
-@query("res_7_sigma_whole")
-def _(s, d):
-    return resilience.sigma(T.mesh(s, d), 0.5).select("node", *r9("sigma"))
-
-
-@query("cmp_9_line_colours_whole")
-def _(s, d):
-    return geometry.line_colours(T.polylines(s, d))
-
-
-@query("msc_9_line_details_whole")
+@query("msc_9_line_details", "SELECT id, least(src, dst) AS low, greatest(src, dst) AS high, round(length, 9) AS length FROM mesh", "mesh")
 def _(s, d):
     return T.mesh(s, d).select("id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), *r9("length"))
-
-
-@query("grf_11_13_paths_whole")
-def _(s, d):
-    p = traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 1)), customers(s, d, 1))
-    return p.select("target", F.array_join(F.col("edges").cast("array<string>"), ",").alias("edges"), "hops", *r9("length"))
-
-
-@query("agg_16_popularity_whole")
-def _(s, d):
-    from voltframe.operators import relational
-
-    return relational.popularity(traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 3)), customers(s, d, 1)))
-
-
-@query("srt_1_by_length_whole")
-def _(s, d):
-    places = components.numbered(T.mesh(s, d).select("id", "length"), ["length", "id"], "place")
-    return places.select("id", (F.col("place") + 1).cast("long").alias("place"))

@@ -334,12 +334,12 @@ def _(s, d):
     return graph.simple_pairs(T.mesh(s, d)).select("id", "src", "dst")
 
 
-@query("agg_16_popularity", f"+{ADJ}, {walk('SELECT 3::BIGINT AS node', True)}, v AS (SELECT unnest(path) AS edge FROM walk WHERE node % 50 = 0 AND node < 1000000000), n AS (SELECT w.node, count(*) AS n FROM v JOIN walk w USING (edge) GROUP BY 1 UNION ALL SELECT 3, (SELECT count(*) FROM walk WHERE node % 50 = 0 AND node < 1000000000)) SELECT node, n FROM n ORDER BY n DESC, node LIMIT 51", "tree", recursive=True)
+@query("agg_16_popularity", f"+{ADJ}, {walk('SELECT 3::BIGINT AS node', True)}, v AS (SELECT unnest(path) AS edge FROM walk WHERE node < 1000000000), n AS (SELECT w.node, count(*) AS n FROM v JOIN walk w USING (edge) GROUP BY 1 UNION ALL SELECT 3, (SELECT count(*) FROM walk WHERE node < 1000000000)) SELECT node, n FROM n ORDER BY n DESC, node LIMIT 51", "tree", recursive=True)
 def _(s, d):
     from voltframe.operators import traverse
 
     t = traverse.sssp(T.tree(s, d), s.createDataFrame([(3,)], "node long"))
-    return relational.popularity(traverse.path_arrays(t, customers(s, d, 50)))
+    return relational.popularity(traverse.path_arrays(t, customers(s, d, 1)))
 
 
 @query("agg_23_request_size", "SELECT (SELECT count(*) FROM supplier) * 4 * 2 * 8760 AS cells")
@@ -347,12 +347,12 @@ def _(s, d):
     return T.read(s, d, "supplier").agg((F.count("*") * 4 * 2 * 8760).alias("cells"))
 
 
-@query("srt_1_by_length", "SELECT id, row_number() OVER (ORDER BY length, id) AS place FROM mesh WHERE id >= 2000000000 ORDER BY length, id LIMIT 1000", "mesh")
+@query("srt_1_by_length", "SELECT id, row_number() OVER (ORDER BY length, id) AS place FROM mesh", "mesh")
 def _(s, d):
-    from pyspark.sql import Window
+    from voltframe.operators.components import numbered
 
-    top = T.mesh(s, d).where("id >= 2000000000").orderBy("length", "id").limit(1000)
-    return top.select("id", F.row_number().over(Window.orderBy("length", "id")).cast("long").alias("place"))
+    places = numbered(T.mesh(s, d).select("id", "length"), ["length", "id"], "place")
+    return places.select("id", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query("srt_2_decile_slice", f"{FLOW}, r AS (SELECT edge, dense_rank() OVER (ORDER BY round(flow, 9)) - 1 AS k FROM flows) SELECT edge FROM r, (SELECT count(DISTINCT k) AS g FROM r) WHERE k BETWEEN 5 * g // 10 AND 8 * g // 10", "sources", "tree", recursive=True)
