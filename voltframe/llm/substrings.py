@@ -6,16 +6,17 @@ Equal windows have equal minimisers at equal places, so they meet there, never f
 told apart word for word.
 
 Three things keep that small. A minimiser that stands in one super-k-mer of all marks windows without a twin:
-a bitmap of fixed size, made from counts over all documents, tells which may be left at home (a false hit
-costs a row, no result). Equal packed strings need no look inside. And minimisers with more than HOT
-super-k-mers, known by a second such bitmap, are dealt to several buckets of about HOT rows. What repeats within
-one of these is settled there; a window that is alone in its bucket goes on by its 128-bit hash, with one
-stand-in for each repeated one of the other buckets, and is counted among them.
+a bitmap, made from counts over all documents and sized by them, tells which may be left at home (a false hit
+costs a row, no result). Equal packed strings of a batch travel as one, with the list of their places, and need
+no look inside. And minimisers with more than HOT super-k-mers, known by further bitmaps, are dealt to several
+buckets. What repeats within one of these is settled there; a window that is alone in its bucket goes on by its
+128-bit hash, with one stand-in for each repeated one of the other buckets, and is counted among them. (There,
+and only there, windows are the same if their 128-bit hashes are.)
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -29,8 +30,11 @@ from .common import cut, for_python, table
 
 WINDOW, MMER = 35, 6
 HOT = 2000
-#: Bits of a bitmap: 16 MB each, whatever the input.
-CELLS = 1 << 27
+#: Bits of a bitmap: SPARE or more for each minimiser in it, a power of two from LEAST to MOST (256 MB). Beyond that it
+#: fills up: more rows travel, and nothing else changes.
+SPARE, LEAST_CELLS, MOST_CELLS = 16, 1 << 20, 1 << 31
+#: A minimiser with more than HOT * FOLD ** (k - 1) super-k-mers is dealt to FOLD ** k buckets at least.
+FOLD = 4
 #: Words of one text that are cut into super-k-mers at once, and bytes of one block of texts.
 PIECE, BLOCK = 100_000, 1 << 20
 
@@ -55,10 +59,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cells(minimisers: np.ndarray) -> np.ndarray:
-    return (minimisers.view(np.uint64) >> np.uint64(7) & np.uint64(CELLS - 1)).astype(np.int64)
-
-
 def super_kmers(texts: list[str | None], window: int = WINDOW) -> Iterator[tuple[bytes, dict[str, np.ndarray]]]:
     """Blocks of texts: the words, joined by one space, and the super-k-mers in them.
 
@@ -115,14 +115,24 @@ def _block(held: list[tuple[int, int, list[bytes]]], window: int) -> tuple[bytes
     }
 
 
-def _bitmap(found: DataFrame) -> bytes:
-    """The cells of found (minimiser), as bits: at most CELLS / 8 bytes in rows of 4096, however many rows there are."""
-    cell = found.select((F.shiftrightunsigned("minimiser", 7).bitwiseAND(CELLS - 1) + 1).alias("c"))
-    rows = cell.groupBy(F.expr("bitmap_bucket_number(c)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).collect()
-    out = bytearray(CELLS // 8)
-    for r in rows:  # buckets count from 1, for values from 1
-        out[(r.n - 1) * 4096 : r.n * 4096] = r.bits
-    return bytes(out)
+class Marks:
+    """A set of minimisers as bits on every executor; it may hold others too."""
+
+    def __init__(self, found: DataFrame, n: int):
+        """found (minimiser): n rows. Bits come to the driver in rows of 4096 bytes, however many minimisers there are."""
+        size = LEAST_CELLS
+        while size < min(SPARE * n, MOST_CELLS):
+            size *= 2
+        cell = found.select((F.shiftrightunsigned("minimiser", 7).bitwiseAND(size - 1) + 1).alias("c"))
+        rows = cell.groupBy(F.expr("bitmap_bucket_number(c)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits"))
+        out = bytearray(size // 8)
+        for r in rows.collect():  # buckets count from 1, for values from 1
+            out[(r.n - 1) * 4096 : r.n * 4096] = r.bits
+        self.size, self.bits = size, found.sparkSession.sparkContext.broadcast(bytes(out))
+
+    def __call__(self, minimisers: np.ndarray) -> np.ndarray:
+        c = (minimisers.view(np.uint64) >> np.uint64(7) & np.uint64(self.size - 1)).astype(np.int64)
+        return (np.frombuffer(self.bits.value, dtype=np.uint8)[c >> 3] >> (c & 7)) & 1 == 1
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -135,49 +145,63 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(s["minimiser"])], ["minimiser"])
 
     counts = cut(docs.select("doc_id", "text").mapInArrow(minimisers, "minimiser long").groupBy("minimiser").count().where("count > 1"))
-    shared, busy = _bitmap(counts), _bitmap(counts.where(F.col("count") > hot))
-    any_busy = any(busy)
+    above = [hot * FOLD**k for k in range(24)]
+    n, *busy = counts.agg(F.count("*"), *(F.count(F.when(F.col("count") > x, 1)) for x in above)).first()
+    shared, levels = Marks(counts, n), [Marks(counts.where(F.col("count") > x), k) for x, k in zip(above, busy, strict=True) if k]
 
-    def bit(bits: bytes, m: np.ndarray) -> np.ndarray:
-        c = cells(m)
-        return (np.frombuffer(bits, dtype=np.uint8)[c >> 3] >> (c & 7)) & 1 == 1
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield _folded(b, window, shared, levels)
 
-    def pick(block: dict[str, np.ndarray], hot_ones: bool) -> np.ndarray:
-        ok = bit(shared, block["minimiser"])
-        if any_busy:
-            ok &= bit(busy, block["minimiser"]) == hot_ones
-        return np.flatnonzero(ok)
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _whole(batches, 2, lambda t: _settle(t, window))
 
-    def packed(batches: Iterator[pa.RecordBatch], hot_ones: bool) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw, s in super_kmers(b.column(1).to_pylist(), window):
-                i = pick(s, hot_ones)
-                said = [raw[x:y] for x, y in zip(s["start"][i].tolist(), s["end"][i].tolist(), strict=True)]
-                row = pa.array(s["row"][i])
-                yield pa.RecordBatch.from_arrays([pa.array(s["minimiser"][i]), b.column(0).take(row), b.column(2).take(row), pa.array(s["first"][i]), pa.array(said, pa.binary())], ["minimiser", "doc_id", "h", "first", "packed"])
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _whole(batches, 1, lambda t: _count(t, window, 4))
-
-    out, rows_of = "doc_id long, h long, a long, b long", "minimiser long, doc_id long, h long, first long, packed binary"
-    docs = docs.select("doc_id", "text", "h")
-    rows = docs.mapInArrow(lambda x: packed(x, False), rows_of)
-    cold = rows.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(buckets, out)
-    if not any_busy:
-        return cold
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _whole(batches, 2, lambda t: _count(t, window, 5))
-
-    many = docs.mapInArrow(lambda x: packed(x, True), rows_of)
-    times = counts.where(F.col("count") > hot).select("minimiser", F.ceil(F.col("count") / F.lit(hot)).alias("parts"))
-    many = many.join(times, "minimiser", "left").withColumn("part", F.pmod(F.xxhash64("h", "first"), F.coalesce("parts", F.lit(1))))
     order = ["minimiser", "part"]
-    settled = many.select("minimiser", "part", "doc_id", "h", "first", "packed").repartition(*order).sortWithinPartitions(*order).mapInArrow(settle, f"{out}, k1 long, k2 long, alone boolean")
-    settled = cut(settled)
-    single = settled.where("alone").select("doc_id", "h", "a", "b", "k1", "k2")
-    twice = settled.where("k1 is not null").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
-    return cold.unionAll(settled.where("k1 is null").select("doc_id", "h", "a", "b")).unionAll(single.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "h", "a", "b"))
+    rows = docs.select("doc_id", "text", "h").mapInArrow(packed, "minimiser long, part long, packed binary, times long, places binary")
+    found = rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(settled, "doc_id long, h long, a long, b long, k1 long, k2 long, alone boolean")
+    if not levels:
+        return found.select("doc_id", "h", "a", "b")
+    found = cut(found)
+    single = found.where("alone").select("doc_id", "h", "a", "b", "k1", "k2")
+    twice = found.where("k1 is not null").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
+    return found.where("k1 is null").select("doc_id", "h", "a", "b").unionAll(single.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "h", "a", "b"))
+
+
+def _folded(b: pa.RecordBatch, window: int, shared: Marks, levels: list[Marks]) -> pa.RecordBatch:
+    """The super-k-mers of a batch (doc_id, text, h) that may have twins, equal packed strings in one row with their places.
+
+    A place is (doc_id, h, twice the first word, and one more where there is no doc_id), 24 bytes; places of equal
+    rows are one place that is there several times. Rows of hot minimisers are dealt to parts by doc_id and text;
+    of others the part is -1.
+    """
+    number: dict[bytes, int] = {}
+    key, part, times = [], [], []
+    places: list[dict[tuple[int, int, int], None]] = []
+    gap = b.column(0).is_null().to_numpy(zero_copy_only=False)
+    doc = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+    hashes = b.column(2).to_numpy(zero_copy_only=False)
+    salt = _mix(_mix(doc.astype(np.uint64)) ^ hashes.view(np.uint64))
+    for raw, s in super_kmers(b.column(1).to_pylist(), window):
+        i = np.flatnonzero(shared(s["minimiser"]))
+        if not len(i):
+            continue
+        m, row, first = s["minimiser"][i], s["row"][i], s["first"][i]
+        deal = np.full(len(i), -1, dtype=np.int64)
+        if levels and (hot := np.flatnonzero(levels[0](m))).size:
+            parts = np.uint64(FOLD) ** np.sum([x(m[hot]) for x in levels], axis=0, dtype=np.uint64)
+            deal[hot] = (_mix(salt[row[hot]] + first[hot].astype(np.uint64)) % parts).astype(np.int64)
+        place = zip(doc[row].tolist(), hashes[row].tolist(), (first * 2 + gap[row]).tolist(), strict=True)
+        for x, y, k, p, where in zip(s["start"][i].tolist(), s["end"][i].tolist(), m.tolist(), deal.tolist(), place, strict=True):
+            at = number.setdefault(raw[x:y], len(number))
+            if at == len(places):
+                key.append(k), part.append(p), places.append({}), times.append(0)
+            times[at] += 1
+            places[at][where] = None
+    flat = np.array([x for p in places for x in p], dtype=np.int64).tobytes()
+    ends = np.cumsum([0, *(24 * len(p) for p in places)]).tolist()
+    held = pa.array([flat[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(part, pa.int64()), pa.array([*number], pa.binary()), pa.array(times, pa.int64()), held], ["minimiser", "part", "packed", "times", "places"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], keys: int, count) -> Iterator[pa.RecordBatch]:
@@ -204,63 +228,66 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
     return [packed[s:e] for s, e in zip(starts, [*at[window - 1 :], len(packed)], strict=True)]
 
 
-def _count(rows: pa.Table, window: int, at: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of repeated windows of whole buckets; at is the column of packed strings, those before it are as in buckets().
-
-    For parts of hot buckets (at is 5) also each window that is alone there, and one stand-in for each
-    repeated one, by their hashes.
+def covered(times: dict[bytes, int], window: int) -> tuple[dict[bytes, list[tuple[int, int]]], dict[bytes, list[tuple[int, bytes]]], list[bytes]]:
+    """Of the packed strings of one bucket and how often each is there: the ranges of words that repeated windows cover;
+    the windows that are alone, with their first words; and each repeated window once. Sorted windows tell which repeat."""
+    each = {p: _windows(p, window) for p in times}
+    order = sorted([w for x in each.values() for w in x])
+    repeated = {x for x, y in zip(order, order[1:], strict=False) if x == y}
+    repeated.update(w for p, n in times.items() if n > 1 for w in each[p])
+    ranges: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    alone: dict[bytes, list[tuple[int, bytes]]] = defaultdict(list)
+    for p, x in each.items():
+        own = ranges[p]
+        for t, w in enumerate(x):
+            if w not in repeated:
+                alone[p].append((t, w))
+            elif own and own[-1][1] == t + window - 1:
+                own[-1] = (own[-1][0], t + window)
+            else:
+                own.append((t, t + window))
+    return ranges, alone, sorted(repeated)
+
+
+def _settle(rows: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of repeated windows of whole buckets: rows (minimiser, part, packed, times, places).
+
+    For parts of hot buckets also each window that is alone there, and one stand-in for each repeated one, by their hashes.
     """
-    keys = [rows.column(k).to_numpy() for k in range(at - 3)]
-    new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    packed = rows.column(at).to_pylist()
-    edge = np.r_[np.flatnonzero(np.r_[True, new]), len(packed)].tolist()
-    row, lo, hi, key = [], [], [], []
-    alone: list[bool] = []
+    keys = [rows.column(k).to_numpy() for k in range(2)]
+    edge = [0, *(np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1).tolist(), len(rows)]
+    hot = (keys[1] >= 0).tolist()
+    packed, there, places = (rows.column(k).to_pylist() for k in range(2, 5))
+    size = np.array([len(x) // 24 for x in places])
+    begin = (np.cumsum(size) - size).tolist()
+    place = np.frombuffer(b"".join(places), dtype=np.int64).reshape(-1, 3)
+    at, lo, hi, key, alone = [], [], [], [], []
     for s, e in zip(edge, edge[1:], strict=False):
-        if e - s < 2 and at == 4:
+        if e - s == 1 and there[s] == 1 and not hot[s]:
             continue
-        times = Counter(packed[s:e])
-        whole = {p for p, n in times.items() if n > 1}
-        ranges: dict[bytes, list[tuple[int, int]]] = {p: [(0, p.count(b" ") + 1)] for p in whole}
-        single: dict[bytes, list[tuple[int, bytes]]] = {}
-        if len(times) > 1 or at == 5:
-            each = {p: _windows(p, window) for p in times}
-            seen = Counter([w for x in each.values() for w in x])
-            told: set[bytes] = set()
-            for p, x in each.items():
-                own: list[tuple[int, int]] = []
-                for t, w in enumerate(x):
-                    if p in whole or seen[w] > 1:
-                        if own and own[-1][1] == t + window - 1:
-                            own[-1] = (own[-1][0], t + window)
-                        else:
-                            own.append((t, t + window))
-                        if at == 5 and w not in told:
-                            told.add(w)
-                            row.append(s), lo.append(0), hi.append(0), key.append(w), alone.append(False)
-                    elif at == 5:
-                        single.setdefault(p, []).append((t, w))
-                ranges[p] = own
+        if e - s == 1 and not hot[s]:
+            ranges, lone, repeated = {packed[s]: [(0, packed[s].count(b" ") + 1)]}, {}, []
+        else:
+            times: Counter = Counter()
+            for i in range(s, e):
+                times[packed[i]] += there[i]
+            ranges, lone, repeated = covered(times, window)
         for i in range(s, e):
-            for a, b in ranges[packed[i]]:
-                row.append(i), lo.append(a), hi.append(b), key.append(None), alone.append(False)
-            for t, w in single.get(packed[i], ()):
-                row.append(i), lo.append(t), hi.append(t + window), key.append(w), alone.append(True)
-    pick = pa.array(row, pa.int64())
-    first = rows.column(at - 1).to_numpy()[row] if row else np.empty(0, dtype=np.int64)
-
-    def take(n: int) -> pa.Array:
-        x = rows.column(n).take(pick)
-        return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-
-    cols = [take(at - 3), take(at - 2), pa.array(first + np.array(lo, dtype=np.int64)), pa.array(first + np.array(hi, dtype=np.int64))]
-    names = ["doc_id", "h", "a", "b"]
-    if at == 5:
-        hashes = [None if w is None else xxhash.xxh3_128_intdigest(w) for w in key]
-        half = lambda shift: pa.array([None if x is None else (x >> shift & (1 << 64) - 1) - (1 << 63) for x in hashes], pa.int64())
-        cols += [half(0), half(64), pa.array(alone, pa.bool_())]
-        names += ["k1", "k2", "alone"]
-    yield pa.RecordBatch.from_arrays(cols, names)
+            for x in range(begin[i], begin[i] + len(places[i]) // 24):
+                for a, b in ranges[packed[i]]:
+                    at.append(x), lo.append(a), hi.append(b), key.append(None), alone.append(False)
+            if hot[s]:
+                for t, w in lone.get(packed[i], ()):
+                    at.append(begin[i]), lo.append(t), hi.append(t + window), key.append(w), alone.append(True)
+        if hot[s]:
+            for w in repeated:
+                at.append(begin[s]), lo.append(0), hi.append(0), key.append(w), alone.append(False)
+    doc, h, first = place[at].T if at else np.empty((3, 0), dtype=np.int64)
+    hashes = [None if w is None else xxhash.xxh3_128_intdigest(w) for w in key]
+    half = lambda shift: pa.array([None if x is None else (x >> shift & (1 << 64) - 1) - (1 << 63) for x in hashes], pa.int64())
+    start = first >> 1
+    cols = [pa.array(doc, mask=first & 1 == 1), pa.array(h), pa.array(start + np.array(lo, dtype=np.int64)), pa.array(start + np.array(hi, dtype=np.int64)), half(0), half(64), pa.array(alone, pa.bool_())]
+    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "a", "b", "k1", "k2", "alone"])
 
 
 def kept_words(text: str | None, ranges: list[dict] | None) -> tuple[int, list[bytes]]:
@@ -284,7 +311,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False, window: int = WINDOW,
     """
     for_python(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    found = repeated_ranges(docs, window, hot).groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    found = repeated_ranges(docs, window, hot).groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     found = found.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "ranges")
     both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select("doc_id", "text", "ranges")
 
@@ -300,4 +327,5 @@ def remove_repeats(docs: DataFrame, digest: bool = False, window: int = WINDOW,
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats() over all documents; nulls, ties, repeated rows and empty tables as there."""
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), digest=True)
