@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +47,34 @@ class Union:
         return [(x, low[self.find(x)]) for x in self.parent]
 
 
-def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task joins up by itself.
+PACK = 200_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of one task as links of each node to the smallest one that it hangs together with."""
+    sets = Union()
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            sets.join(u, v)
+    found = [(x, low) for x, low in sets.smallest() if x != low]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def star_components(edges: DataFrame, rounds: int = 60, pack: int = PACK) -> DataFrame:
     """(node, component) over edges (src, dst): rounds of large-star and small-star steps, checkpointed.
 
-    Neighbours hang onto the smallest node seen, so chains shrink by a constant factor a round. Minima are
-    partial aggregates and the joins back may be split by skew: no node's neighbours come together in one place.
+    First tasks join up to pack edges each by themselves; where one task is enough for all, that is the result.
+    In the rounds neighbours hang onto the smallest node seen, so chains shrink by a constant factor a round. Minima
+    are partial aggregates and the joins back may be split by skew: no node's neighbours come together in one place.
     """
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    e = edges.where("src <> dst").select(F.greatest("src", "dst").cast("long").alias("u"), F.least("src", "dst").cast("long").alias("v"))
     e, seen = cut(e.distinct()), None
+    n = e.count()
+    e = cut((e.coalesce(1) if n <= pack else e.repartition(-(-n // pack), "v")).mapInArrow(_joined, "u long, v long"))
     for _ in range(rounds):
+        if n <= pack:
+            break
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -61,10 +83,12 @@ def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = cut(large.join(low, "u").select(F.explode(pair).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
-            tops = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(tops)
+            break
         seen = now
-    raise RuntimeError("components did not settle")
+    else:
+        raise RuntimeError("components did not settle")
+    tops = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(tops)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
