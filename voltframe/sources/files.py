@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,20 @@ POINTS, LOADS = "id long, lat double, lon double", "id long, name string, region
 LINES, SOURCES = "id long, left_id long, right_id long, length double, voltage double", "id long, point_id long, name string, naics_desc string, oper_cap double, winter_cap double, summer_cap double, gen_units int, lines int"
 
 
+def write_text_file(lines: DataFrame, path: str) -> str:
+    """lines (value) in order of the rows' place (place), if there is such a column, as one text file of that name; its path."""
+    spark = lines.sparkSession
+    rows = lines.repartition(1).sortWithinPartitions("place").select("value") if "place" in lines.columns else lines.select("value").repartition(1)
+    rows.write.mode("overwrite").text(path + ".tmp")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(path + ".tmp")) if f.getPath().getName().startswith("part-"))
+    fs.delete(hadoop.Path(path), True)
+    fs.rename(part, hadoop.Path(path))
+    fs.delete(hadoop.Path(path + ".tmp"), True)
+    return path
+
+
 def create_if_missing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path, made empty where there is none yet."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
@@ -78,6 +94,14 @@ def geojson_lines(spark: SparkSession, path: str, box: tuple[float, float, float
     return v.join(numbered(v.select("x", "y").distinct(), ["x", "y"], "vertex"), ["x", "y"]).select("line", "seq", "x", "y", "voltage", "vertex")
 
 
+def overpass_ways(spark: SparkSession, path: str) -> DataFrame:
+    """(way, seq, node, lat, lon) of a JSON file {elements: [{type, id, lat, lon | nodes}, …]}: the nodes of each way in order; unknown ones are left out."""
+    schema = "elements array<struct<type: string, id: long, lat: double, lon: double, nodes: array<long>>>"
+    e = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
+    ways = e.where("type = 'way'").select(F.col("id").alias("way"), F.posexplode("nodes").alias("seq", "node"))
+    return ways.join(e.where("type = 'node'").select(F.col("id").alias("node"), "lat", "lon"), "node").select("way", F.col("seq").cast("long").alias("seq"), "node", "lat", "lon")
+
+
 def xml_places(spark: SparkSession, path: str) -> DataFrame:
     """(node, area, kind, lat, lon) of an XML price map: a row for each tag m with n, a, p and two decimals; sane places by node."""
     raw = spark.read.format("xml").option("rowTag", "m").schema("n string, a string, p string, decimal array<double>").load(path)
@@ -174,3 +198,32 @@ def transverse_mercator(x: Column, y: Column, central: float, east: float, scale
     lat = p - (n1 * t / r1) * (d * d / 2 - (t1 * 3 + c1 * 10 - c1 * c1 * 4 - 9 * ep2 + 5) * F.pow(d, F.lit(4)) / 24)
     lon = (d - (t1 * 2 + c1 + 1) * F.pow(d, F.lit(3)) / 6 + (F.lit(5.0) - c1 * 2 + t1 * 28) * F.pow(d, F.lit(5)) / 120) / c
     return F.struct(F.degrees(lat).alias("lat"), (F.degrees(lon) + central).alias("lon"))
+
+
+#: Shift from the Bessel ellipsoid's German datum to WGS 84 (fixed values): metres, seconds of arc, parts per million.
+DHDN = ((598.1, 73.7, 418.2), (0.202, 0.045, -2.455), 6.7)
+
+
+def shifted(place: Column, shift: tuple = DHDN, ellipsoid: tuple[float, float] = BESSEL, to: tuple[float, float] = WGS84) -> Column:
+    """(lat, lon) in degrees on another datum of a place (lat, lon) at height 0: seven parameters (position vector form)."""
+    (dx, dy, dz), turns, ppm = shift
+    rx, ry, rz = (t * math.pi / 180 / 3600 for t in turns)
+    a, f = ellipsoid
+    e2 = f * (2 - f)
+    lat, lon = F.radians(place["lat"]), F.radians(place["lon"])
+    n = F.lit(a) / F.sqrt(F.lit(1.0) - F.sin(lat) * F.sin(lat) * e2)
+    x, y, z = n * F.cos(lat) * F.cos(lon), n * F.cos(lat) * F.sin(lon), n * (1 - e2) * F.sin(lat)
+    m = 1 + ppm * 1e-6
+    x, y, z = (x - y * rz + z * ry) * m + dx, (x * rz + y - z * rx) * m + dy, (y * rx - x * ry + z) * m + dz
+    b, g = to
+    k2 = g * (2 - g)
+    flat = F.sqrt(x * x + y * y)
+    u = F.atan2(z, flat * (1 - g))  # Bowring's formula; its error is far below a millimetre on the ground
+    polar = b * (1 - g)
+    out = F.atan2(z + F.pow(F.sin(u), F.lit(3.0)) * (k2 / (1 - k2) * polar), flat - F.pow(F.cos(u), F.lit(3.0)) * (k2 * b))
+    return F.struct(F.degrees(out).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
+
+
+def gauss_kruger(x: Column, y: Column, zone: int = 3) -> Column:
+    """(lat, lon) in degrees on WGS 84 of a German grid place: zone 3 is the one with central meridian 9."""
+    return shifted(transverse_mercator(x, y, 3.0 * zone, 500_000.0 + 1_000_000.0 * zone))
