@@ -67,6 +67,9 @@ def test_held_out_documents_and_context(rows):
     right = sum(a and b for a, b in got)
     # labels are noisy: about one in a hundred is wrong on either side
     assert right / sum(b for _, b in got) >= 0.9 and right / sum(a for a, _ in got) >= 0.9
+    # potentials are the sums of the features' weights
+    some = {c for _, t, _ in rows[:300] for c in t.split()}
+    assert all(crf.potential(c) == pytest.approx(crf.bias + sum(crf.weights.get(f, 0.0) for f in toxicity.features(c))) for c in some)
     # what stands beside a token changes its marginals, and order does
     word = max((f[1:] for f in crf.weights if f[0] == "="), key=lambda w: crf.potential(w))
     x = crf.potentials([word, "the", "the", word, word])

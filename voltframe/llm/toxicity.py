@@ -15,6 +15,8 @@ into equal stretches, which run side by side: first as products of matrices, the
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +39,7 @@ NOISE, PENALTY, STILL = 0.02, 0.05, 5.0
 MUTED = 0.3
 THRESHOLD = 0.7
 #: Chunks of text whose potential a worker keeps; tokens that run side by side; tokens of a stretch.
-KEPT, SIDE, STRETCH = 400_000, 1 << 18, 256
+KEPT, SIDE, STRETCH = 300_000, 1 << 18, 256
 
 _CHUNK = re.compile(r"\S+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha()) + "«»“”‘’„…–—·¡¿"
@@ -136,17 +138,36 @@ class Crf:
     level: float = -2.0
 
     def __post_init__(self) -> None:
-        self.cache: dict[str, float] = {}
+        self.cache: dict[str, float] = {}  # of chunks
+        self.words: dict[str, float] = {}  # of tokens
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "words": {}}
 
     def prepare(self) -> None:
-        self.cache.clear()
+        self.cache.clear(), self.words.clear()
 
     def potential(self, chunk: str) -> float:
-        get = self.weights.get
-        return self.bias + sum([get(f, 0.0) for f in features(chunk)])
+        """Bias and weights of features(chunk). A longer beginning or end is known only if the shorter ones are, as it is rarer."""
+        tok, get = token(chunk), self.weights.get
+        if (x := self.words.get(tok)) is None:
+            x = self.bias + (get("#", 0.0) if not tok else 0.0 if tok.isalpha() else get("#+", 0.0))
+            known = bool(tok)
+            for n in PREFIXES:
+                if len(tok) <= n or (v := get(tok[:n])) is None:
+                    known &= len(tok) <= n
+                    break
+                x += v
+            if known:
+                x += get(f"={tok}", 0.0)
+            for n in SUFFIXES:
+                if len(tok) <= n or (v := get(f"-{tok[-n:]}")) is None:
+                    break
+                x += v
+            if len(self.words) > KEPT:
+                self.words.clear()
+            self.words[tok] = x
+        return x + get("#A", 0.0) if len(tok) > 1 and chunk.isupper() else x
 
     def potentials(self, chunks: list[str]) -> list[float]:
         cache = self.cache
@@ -228,17 +249,17 @@ def gradient(x: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, moves: np.ndar
     return each * s.p, (pairs * each).sum(1).reshape(2, 2), float((np.log(right) * weight).sum())
 
 
-def _once(docs: list[list[str]], toxic: np.ndarray) -> list[int]:
-    """Copies of a document count once: documents are known by the least hash of their three-word shingles."""
-    firsts: dict[int, int] = {}
-    for i, d in enumerate(docs):
-        h = min((xxhash.xxh32_intdigest(" ".join(d[j : j + 3]), 7) for j in range(max(1, len(d) - 2))), default=0)
-        firsts.setdefault(h * 2 + int(toxic[i]), i)
-    return sorted(firsts.values())
+def groups(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Documents in order, some at a time: about most tokens each."""
+    part = (np.cumsum(sizes) - sizes) // most
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1) if len(sizes) else []
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Crf:
-    """A model for labelled texts. Without texts of both kinds every score is the share of toxic ones (0.1 without any text)."""
+    """A model for labelled texts. Without texts of both kinds every score is the share of toxic ones (0.1 without any text).
+
+    Texts are held as numbers of their chunks; sums over tokens are made for some documents at a time.
+    """
     y = np.array(toxic, dtype=bool)
     crf = Crf()
     if not len(y) or y.all() or not y.any():
@@ -246,61 +267,53 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Crf:
         crf.level = float(np.log((share + 0.01) / (1.01 - share)))
         return crf
     number: dict[str, int] = {}
-    docs = [t.split() for t in texts]
-    ids = [np.array([number.setdefault(c, len(number)) for c in d], dtype=np.int32) for d in docs]
-    once = _once(docs, y)
-    del docs
-    # features that LEAST toxic documents have, as entries (chunk, feature)
-    bad = [i for i in once if y[i]]
-    in_bad = np.zeros(len(number), dtype=bool)
-    for i in bad:
-        in_bad[ids[i]] = True
-    names: dict[str, int] = {}
-    chunk_of, feature_of = [], []
-    for c, n in number.items():
-        if in_bad[n]:
-            own = [names.setdefault(f, len(names)) for f in features(c)]
-            chunk_of += [n] * len(own)
-            feature_of += own
-    starts = np.searchsorted(chunk_of, np.arange(len(number) + 1))
-    feature_of = np.array(feature_of, dtype=np.int64)
-    times = np.zeros((2, len(names)))
-    for i in bad:
-        u = np.unique(ids[i])
-        times[1][np.unique(np.concatenate([feature_of[starts[k] : starts[k + 1]] for k in u]))] += 1 if len(u) else 0
-    known = times[1] >= LEAST
-    again = np.cumsum(known) - 1
-    names = {f: int(again[n]) for f, n in names.items() if known[n]}
-    chunk_of, feature_of = [], []
-    for c, n in number.items():
+    ids, firsts = [], {}
+    for i, t in enumerate(texts):
+        d = t.split()
+        ids.append(np.array([number.setdefault(c, len(number)) for c in d], dtype=np.int32))
+        # copies of a document count once: documents are known by the least hash of their three-word shingles
+        h = min((xxhash.xxh32_intdigest(" ".join(d[j : j + 3]), 7) for j in range(max(1, len(d) - 2))), default=0)
+        firsts.setdefault(h * 2 + int(y[i]), i)
+    once = sorted(firsts.values())
+    chunks = [*number]
+    in_toxic: Counter = Counter()
+    for i in once:
+        if y[i]:
+            in_toxic.update({f for k in np.unique(ids[i]).tolist() for f in features(chunks[k])})
+    names = {f: n for n, f in enumerate(f for f, k in in_toxic.items() if k >= LEAST)}
+    del in_toxic
+    feature_of, size_of = array("i"), array("i")
+    for c in chunks:
         own = [names[f] for f in features(c) if f in names]
-        chunk_of += [n] * len(own)
-        feature_of += own
-    chunk_of, feature_of = np.array(chunk_of, dtype=np.int64), np.array(feature_of, dtype=np.int64)
-    starts = np.searchsorted(chunk_of, np.arange(len(number) + 1))
+        feature_of.extend(own)
+        size_of.append(len(own))
+    feature_of, size_of = np.array(feature_of, dtype=np.int32), np.array(size_of, dtype=np.int32)
+    chunk_of = np.repeat(np.arange(len(chunks), dtype=np.int32), size_of)
+    starts = np.cumsum(size_of) - size_of
     times = np.zeros((2, len(names)))
     for i in once:
         u = np.unique(ids[i])
-        own = [feature_of[starts[k] : starts[k + 1]] for k in u]
-        if own:
-            times[int(y[i])][np.unique(np.concatenate(own))] += 1
-    n_bad, n_good = len(bad), len(once) - len(bad)
+        at = np.repeat(starts[u] - (np.cumsum(size_of[u]) - size_of[u]), size_of[u]) + np.arange(size_of[u].sum())
+        times[int(y[i])][np.unique(feature_of[at])] += 1
+    once = np.array(once)
+    n_bad, n_good = int(y[once].sum()), int((~y[once]).sum())
     odds = np.log((times[1] + 0.5) / (n_bad + 1)) - np.log((times[0] + 0.5) / (n_good + 1))
     w, bias, moves = np.clip(odds, -1.0, 3.0) * 0.5, -6.0, np.array([[0.5, -0.5], [0.0, 0.0]])
-    flat = np.concatenate([ids[i] for i in once])
-    sizes = np.array([len(ids[i]) for i in once])
-    weight = np.where(y[once], n_good / max(1, n_bad), 1.0) ** 0.5
-    in_toxic, rng = np.repeat(y[once], sizes), np.random.default_rng(11)
+    batches = [once[g] for g in groups(np.array([len(ids[i]) for i in once]), SIDE)]
+    rng = np.random.default_rng(11)
     state = [np.zeros(len(w) + 5), np.zeros(len(w) + 5)]
     for r in range(1, rounds + 1):  # Adam on the penalised likelihood
-        u = bias + np.bincount(chunk_of, w[feature_of], minlength=len(number))
-        x, mute = u[flat], in_toxic & (rng.random(len(flat)) < MUTED)
-        x[mute] = -20.0
-        by_token, by_move, _ = gradient(x, sizes, y[once], moves, weight)
-        by_token[mute] = 0.0
-        by_chunk = np.bincount(flat, by_token, minlength=len(number))
-        by_weight = np.bincount(feature_of, by_chunk[chunk_of], minlength=len(w)) - PENALTY * w
-        g = np.concatenate([by_weight, [by_token.sum()], by_move.ravel() - STILL * moves.ravel()])
+        u = bias + np.bincount(chunk_of, w[feature_of], minlength=len(chunks))
+        by_chunk, by_bias, by_moves = np.zeros(len(chunks)), 0.0, -STILL * moves
+        for some in batches:
+            flat, sizes = np.concatenate([ids[i] for i in some]), np.array([len(ids[i]) for i in some])
+            x, mute = u[flat], np.repeat(y[some], sizes) & (rng.random(len(flat)) < MUTED)
+            x[mute] = -20.0
+            by_token, more, _ = gradient(x, sizes, y[some], moves, np.where(y[some], (n_good / max(1, n_bad)) ** 0.5, 1.0))
+            by_token[mute] = 0.0
+            by_chunk += np.bincount(flat, by_token, minlength=len(chunks))
+            by_bias, by_moves = by_bias + by_token.sum(), by_moves + more
+        g = np.concatenate([np.bincount(feature_of, by_chunk[chunk_of], minlength=len(w)) - PENALTY * w, [by_bias], by_moves.ravel()])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = 0.15 * (state[0] / (1 - 0.9**r)) / (np.sqrt(state[1] / (1 - 0.99**r)) + 1e-8)
@@ -309,9 +322,9 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60) -> Crf:
         moves = np.clip(moves + move[len(w) + 1 :].reshape(2, 2), -3.0, 3.0)
     crf.weights = {f: float(w[n]) for f, n in names.items()}
     crf.bias, crf.moves = float(bias), moves
-    u = bias + np.bincount(chunk_of, w[feature_of], minlength=len(number))
+    u = bias + np.bincount(chunk_of, w[feature_of], minlength=len(chunks))
     every = np.array([len(x) for x in ids])
-    s = sums(chain(u[np.concatenate(ids)], every, moves), every)
+    s = np.concatenate([sums(chain(u[np.concatenate([ids[i] for i in some])], every[some], moves), every[some]) for some in groups(every, SIDE)])
     crf.mean, crf.scale = s.mean(0), s.std(0) + 1e-6
     s = (s - crf.mean) / crf.scale
     curve, level = np.zeros(3), 0.0
