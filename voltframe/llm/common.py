@@ -17,7 +17,7 @@ from voltframe.operators.components import star_components
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Size of one Arrow batch that is sent to Python, unless a single row is larger.
-ARROW_BYTES = "8m"
+ARROW_BYTES = "4m"
 
 
 def ascii_words(text: str | None) -> list[bytes]:

@@ -7,23 +7,26 @@ values; what is found is verified by the complete distance. A pair meets from on
 mask, the fingerprint that has 0 at the mask's lowest bit asks.
 
 A bucket of the complete form gives a spanning forest of its links, nearest first. The similarity form at the
-end works on the shingle sets themselves.
+end takes candidates from longer fingerprints and verifies them on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, components, cut, for_python, table
+from .common import ascii_words, components, cut, for_python, table, trimmed
 
 SEED = 42
 #: Byte k of entry b is bit k of b.
@@ -57,8 +60,14 @@ def widen(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def fingerprints(texts: list[str | None], words: int, width: int = 1) -> np.ndarray:
     """(len(texts), width) words of 64 bits; zero for texts without a word. Memory is that of one block."""
-    out = np.zeros((len(texts), width), dtype=np.uint64)
+    return set_fingerprints((shingle_hashes(t, words) for t in texts), width, len(texts))
+
+
+def set_fingerprints(hashes: Iterable[np.ndarray], width: int, n: int | None = None) -> np.ndarray:
+    """The same of n lists of hashes."""
+    out = np.zeros((len(hashes) if n is None else n, width), dtype=np.uint64)
     held, sizes, who = [], [], []
+    size = 0
 
     def flush() -> None:
         if not held:
@@ -76,11 +85,13 @@ def fingerprints(texts: list[str | None], words: int, width: int = 1) -> np.ndar
         out[who] = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64)
         held.clear(), sizes.clear(), who.clear()
 
-    for i, t in enumerate(texts):
-        if len(h := shingle_hashes(t, words)):
+    for i, h in enumerate(hashes):
+        if len(h):
             held.append(h), sizes.append(len(h)), who.append(i)
-            if sum(sizes) >= 1 << 18:
+            size += len(h)
+            if size >= 1 << 16 or len(held) == 512:
                 flush()
+                size = 0
     flush()
     return out
 
@@ -259,12 +270,54 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-# --- similarity form: five words, similarity 0.8 and more, exact ---
-
-#: Counters of shingles by the low bits of their hash, given out in slices; rows of a bucket that meet in one place.
-WORDS, SIMILARITY, SLOTS, SLICES, BUCKET, BLOCK = 5, 0.8, 1 << 20, 64, 8192, 1024
-#: Least hashes by which large groups are found early. Bits by which sets that are not asked for stay where they are.
-STARS, MARKS = 8, 1 << 24
+# --- similarity form: five words, similarity 0.8 and more ---
+
+#: A pair at the similarity is missed by the segments, or by a limit on distances, in MISS of cases at most (each).
+WORDS, SIMILARITY, MISS = 5, 0.8, 0.001
+#: Words of 64 bits of a fingerprint at least; the first two are the check that travels to the buckets, the others hold the segments.
+WIDTH, CHECK = 8, 2
+#: Bits of a segment: so many that an average bucket has no more than ROWS entries, and LEAST_BITS at least.
+ROWS, LEAST_BITS = 64, 14
+#: Segments by which large groups are found early.
+EARLY = 4
+#: Buckets of more than HOT_ROWS entries, and documents with more than CROWD candidates, are left to prefixes.
+HOT_ROWS, CROWD = 4096, 64
+#: Pairs that are looked at side by side, and links that are held before they are sorted.
+SIDE, HELD = 1 << 20, 1 << 21
+#: Prefixes: counters of shingles by the low bits of their hash, given out in slices; rows of a bucket that meet in one
+#: place. Bits by which texts that are not asked for stay where they are.
+SLOTS, SLICES, BUCKET, BLOCK, MARKS = 1 << 20, 64, 8192, 1024, 1 << 24
+
+
+def _above(bits: int, p: float, most: int) -> float:
+    """Probability that more than most of the bits differ if each does with probability p (from 0 to below 1)."""
+    term = total = (1.0 - p) ** bits
+    for k in range(1, most + 1):
+        term *= (bits - k + 1) / k * p / (1.0 - p)
+        total += term
+    return 1.0 - total
+
+
+@dataclass(frozen=True)
+class Geometry:
+    """How fingerprints are cut: bits of a segment, segments, words in all; and distances that candidates have at most."""
+
+    bits: int
+    segments: int
+    width: int
+    check: int
+    full: int
+
+
+def geometry(n: int, similarity: float = SIMILARITY) -> Geometry:
+    """For n documents. Bits of two sets of a similarity s differ with probability acos(2s / (1 + s)) / pi, and less if one is smaller."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / ROWS)))
+    meets = 1.0 - _above(bits, p, 1)
+    segments = max(EARLY, math.ceil(math.log(MISS) / math.log(1 - meets))) if p else EARLY
+    width = max(WIDTH, CHECK + math.ceil(bits * segments / 64))
+    limit = lambda size: next(k for k in range(size + 1) if _above(size, p, k) <= MISS)
+    return Geometry(bits, segments, width, limit(64 * CHECK), limit(64 * width))
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -272,6 +325,145 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(t, words)) for t in texts]
 
 
+def segment(fp: np.ndarray, number: int, bits: int) -> np.ndarray:
+    """Values of one segment of fingerprints (n, width); the segments follow the check."""
+    at, shift = divmod(64 * CHECK + number * bits, 64)
+    v = fp[:, at] >> np.uint64(shift)
+    if shift + bits > 64:
+        v = v | fp[:, at + 1] << np.uint64(64 - shift)
+    return v & np.uint64((1 << bits) - 1)
+
+
+def _words_of(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, width)
+
+
+def asked_rows(reps: DataFrame, geo: Geometry, numbers: range, own_only: bool = False) -> DataFrame:
+    """(key, own, id, fp, fq, grp) of reps (rep, fp, grp): for each segment a row at its value, and, to ask, at each value of the ball around."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            fp = _words_of(b.column(1), geo.width)
+            for s in numbers:
+                value = segment(fp, s, geo.bits)
+                for i, v, own in ball(value, geo.bits, 0 if own_only else 1):
+                    if len(i):
+                        row = pa.array(i)
+                        yield pa.RecordBatch.from_arrays([pa.array((v | np.uint64(s << 40)).view(np.int64)), pa.array(np.full(len(i), own)), b.column(0).take(row), *(pa.array(fp[i, w].view(np.int64)) for w in range(CHECK)), b.column(2).take(row)], ["key", "own", "id", "fp", "fq", "grp"])
+
+    return reps.select("rep", "fp", "grp").mapInArrow(trimmed(run), "key long, own boolean, id long, fp long, fq long, grp long")
+
+
+def meetings(key: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of a bucket's own row and another row of it, some at a time. Rows are sorted by key."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    mine = np.flatnonzero(own & np.repeat(size > 1, size))
+    n, begin = np.repeat(size, size)[mine], np.repeat(first, size)[mine]
+    total = np.cumsum(n)
+    at = 0
+    while at < len(mine):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SIDE, side="right")))
+        m = n[at:stop]
+        i = np.repeat(mine[at:stop], m)
+        j = np.arange(len(i)) + np.repeat(begin[at:stop] - (np.cumsum(m) - m), m)
+        yield i[i != j], j[i != j]
+        at = stop
+
+
+def directed(cols: list[np.ndarray], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, distance) for rows (key, own, id, fp, fq, grp) of whole buckets: ids of different groups near by their checks, both ways."""
+    key, own, ids, fp, fq, grp = cols
+    for i, j in meetings(key, own):
+        d = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fq[i] ^ fq[j])
+        ok = (d <= limit) & (grp[i] != grp[j])
+        i, j, d = i[ok], j[ok], d[ok]
+        back = ~own[j]  # two own rows meet both ways as it is
+        yield np.r_[ids[i], ids[j[back]]], np.r_[ids[j], ids[i[back]]], np.r_[d, d[back]]
+
+
+def _bucketwise(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows (key, own, id, fp, fq, grp) sorted by key, as arrays of whole buckets; a missing group is the id."""
+    rest: list[np.ndarray] | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        key, own, ids = (b.column(n).to_numpy(zero_copy_only=False) for n in range(3))
+        check = [b.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in (3, 4)]
+        cols = [key, own, ids, *check, pc.coalesce(b.column(5), b.column(2)).to_numpy(zero_copy_only=False)]
+        rest = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+        if stop := int(np.searchsorted(rest[0], rest[0][-1])):
+            yield [c[:stop] for c in rest]
+            rest = [c[stop:] for c in rest]
+    if rest is not None:
+        yield rest
+
+
+def nearest_links(rows: DataFrame, limit: int) -> DataFrame:
+    """(a, b): for each id in a bucket the nearest other one there that is smaller, as a candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _bucketwise(batches):
+            for x, y, d in directed(cols, limit):
+                ok = y < x
+                x, y, d = x[ok], y[ok], d[ok]
+                order = np.lexsort((y, d, x))
+                x, y = x[order], y[order]
+                new = np.r_[True, x[1:] != x[:-1]] if len(x) else np.empty(0, dtype=bool)
+                yield _two(y[new], x[new])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(run), "a long, b long")
+
+
+def candidate_lists(rows: DataFrame, limit: int) -> DataFrame:
+    """(id, near): the candidates of each id that has some; null for ids with more than CROWD, in this part of the buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowded = np.empty(0, dtype=np.int64)
+        held = [np.empty((0, 2), dtype=np.int64)]
+
+        def settled() -> np.ndarray:
+            nonlocal crowded
+            e = np.unique(np.concatenate(held), axis=0)
+            e = e[~np.isin(e[:, 0], crowded)]
+            who, n = np.unique(e[:, 0], return_counts=True)
+            crowded = np.union1d(crowded, who[n > CROWD])
+            return e[~np.isin(e[:, 0], crowded)]
+
+        size = 0
+        for cols in _bucketwise(batches):
+            for x, y, _ in directed(cols, limit):
+                held.append(np.stack([x, y], axis=1))
+                size += len(x)
+                if size > HELD:
+                    held = [settled()]
+                    size = 0
+        e = settled()
+        who, n = np.unique(e[:, 0], return_counts=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(e[:, 1], pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), lists], ["id", "near"])
+        yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.nulls(len(crowded), pa.list_(pa.int64()))], ["id", "near"])
+
+    parts = rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(run), "id long, near array<long>")
+    all_ = parts.groupBy("id").agg(F.max(F.col("near").isNull()).alias("crowded"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    return cut(all_.select("id", F.when(~F.col("crowded") & (F.size("near") <= CROWD), F.col("near")).alias("near")))
+
+
+def within(pairs: DataFrame, reps: DataFrame, geo: Geometry) -> DataFrame:
+    """The pairs (a, b) whose whole fingerprints are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                d = np.bitwise_count(_words_of(b.column(2), geo.width) ^ _words_of(b.column(3), geo.width)).sum(1, dtype=np.int64)
+                yield b.select(["a", "b"]).filter(pa.array(d <= geo.full))
+
+    left, right = reps.select(F.col("rep").alias("a"), F.col("fp").alias("x")), reps.select(F.col("rep").alias("b"), F.col("fp").alias("y"))
+    return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
     """Two sets this similar share one of so many first elements of both, in any common order."""
     return size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
@@ -356,19 +548,28 @@ def _mix(h: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     return np.where(np.asarray(salt) == 0, h, y ^ (y >> np.uint64(31)))
 
 
+def _keyed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, key, fp) of rows (doc_id, text): the key is that of the shingle set, the fingerprint that of the set too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column(1).to_pylist(), WORDS)
+            keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            fp = set_fingerprints(sets, width)
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([x.tobytes() if len(y) else None for x, y in zip(fp, sets, strict=True)], pa.binary())], ["doc_id", "key", "fp"])
+
+    return run
+
+
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key) of each row, the key that of its shingle set; then counts of hashes, in slices."""
+    """Counts of the hashes in rows (rep, set, grp), in slices."""
     counts = np.zeros(SLOTS, dtype=np.uint32)
-    names = ["doc_id", "key", "slice", "counts"]
     for b in batches:
-        sets = shingle_sets(b.column(1).to_pylist(), WORDS)
-        for s in sets:
-            np.add.at(counts, s & np.uint64(SLOTS - 1), 1)
-        keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())], names)
+        for x in _sets_of(b.column(1)):
+            np.add.at(counts, x & np.uint64(SLOTS - 1), 1)
     if counts.any():
         parts = pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), parts], names)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), parts], ["slice", "counts"])
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,86 +582,57 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
 
 
-def _rep_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (rep, text, key) those whose text has the key: (rep, set)."""
-    for b in batches:
-        sets, keys = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), WORDS)], b.column(2).to_pylist()
-        ok = [len(s) > 0 and xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, keys, strict=True)]
-        out = pa.array([s for s, y in zip(sets, ok, strict=True) if y], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), out], ["rep", "set"])
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not len(b):
-            continue
-        sets, ids = _sets_of(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
-        h = np.concatenate(sets)
-        starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-        for k in range(1, STARS + 1):
-            least = np.minimum.reduceat(_mix(h, k), starts)
-            yield pa.RecordBatch.from_arrays([pa.array(_mix(least, k).view(np.int64)), pa.array(ids)], ["key", "id"])
-
-
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (_mix(ids.astype(np.uint64), 3) % np.uint64(MARKS)).astype(np.int64)
+def marks_of(ids: DataFrame) -> Broadcast:
+    """A bit for each slot (the low bits) that some id of ids (id) has; bits come to the driver in rows of 4096 bytes."""
+    slot = ids.select((F.col("id").bitwiseAND(MARKS - 1) + 1).alias("s"))
+    rows = slot.groupBy(F.expr("bitmap_bucket_number(s)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+    out = bytearray(MARKS // 8)
+    for r in rows.collect():  # buckets count from 1, for values from 1
+        out[(r.n - 1) * 4096 : r.n * 4096] = r.bits
+    return ids.sparkSession.sparkContext.broadcast(np.frombuffer(bytes(out), dtype=np.uint8))
 
 
-def marks_of(ids: DataFrame) -> Broadcast:
-    """A bit for each slot that some id of ids (id) has, of a fixed size."""
+def sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, set) of the ids (id) out of reps (rep, key), read from docs (doc_id, text); other texts do not travel."""
+    marks = marks_of(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MARKS, dtype=bool)
         for b in batches:
-            bits[_slot(b.column(0).to_numpy(zero_copy_only=False))] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+            at = b.column(0).to_numpy(zero_copy_only=False) & (MARKS - 1)
+            b = b.filter(pa.array(marks.value[at >> 3] >> (at & 7) & 1 == 1))
+            sets = [x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), WORDS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["rep", "key", "set"])
 
-    total = np.zeros(MARKS // 8, dtype=np.uint8)
-    for r in ids.mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(total)
+    asked = ids.select(F.col("id").alias("rep")).distinct().join(reps.select("rep", "key"), "rep")
+    found = docs.mapInArrow(trimmed(run), "rep long, key binary, set binary")
+    return found.join(asked, ["rep", "key"]).dropDuplicates(["rep", "key"]).select("rep", "set")
 
 
-def marked_sets(sets: DataFrame, marks: Broadcast, inside: bool = True) -> DataFrame:
-    """Rows of sets (rep, set) whose slot has a mark, or all others."""
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (rep, set) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = _slot(b.column(0).to_numpy(zero_copy_only=False))
-            yield b.filter(pa.array((marks.value[at >> 3] >> (7 - (at & 7)) & 1 == 1) == inside, pa.bool_()))
-
-    return sets.mapInArrow(run, "rep long, set binary")
-
+            ok = [similar(x, y, similarity) for x, y in zip(_sets_of(b.column(2)), _sets_of(b.column(3)), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, keep) of docs (doc_id, text): keep is true for the smallest doc_id of each near-duplicate group.
+    left, right = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
-    Shingles of five words, each once; documents whose shingle sets have a Jaccard similarity of 0.8 or more are
-    linked, all of them and no others. Every pair that is linked is compared by its sets.
 
-    Candidates come from prefixes: with a common order of shingles, similar sets share one of the first fifth of
-    both, and there the places tell how much more they can share. The order is by counts of hashes in SLOTS
-    counters, rare ones first, so buckets are small; any order gives the same links. Large groups are found first
-    by comparing each document with the smallest that has an equal least hash: pairs linked already need no look.
-    Buckets that may have more than BUCKET rows are cut, and each two of their parts meet in one place.
+def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all links of similar sets (rep, set, grp) of different groups.
 
-    Texts without a word form one group, as equal texts do. Rows that share a doc_id stay or go together.
-    Null doc_ids stay.
+    With a common order of shingles, similar sets share one of the first fifth of both, and there the places tell
+    how much more they can share. The order is by counts of hashes in SLOTS counters, rare ones first, so buckets
+    are small; any order gives the same links. Buckets that may have more than BUCKET rows are cut, and each two
+    of their parts meet in one place. Every pair is compared by its sets.
     """
-    spark = docs.sparkSession
-    for_python(spark)
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    seen = cut(docs.mapInArrow(_count_shingles, "doc_id long, key binary, slice int, counts binary"))
-    fps = seen.where("key is not null").select("doc_id", "key")
-    slices = seen.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_add_counts, "slice int, counts binary")
+    slices = sets.mapInArrow(_count_shingles, "slice int, counts binary").repartition("slice").mapInArrow(_add_counts, "slice int, counts binary")
     counts = np.zeros(SLOTS, dtype=np.int64)
     for r in slices.collect():
         np.split(counts, SLICES)[r.slice][:] = np.frombuffer(r.counts, dtype=np.int64)
-    shared = spark.sparkContext.broadcast(counts)
-    reps = cut(fps.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    texts = docs.join(reps, F.col("doc_id") == F.col("rep")).select("rep", "text", "key")
-    sets = cut(texts.mapInArrow(_rep_sets, "rep long, set binary"))
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -488,26 +660,54 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         if len(rest[0]):
             yield _two(*set_pairs(*rest, similarity))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similar(x, y, similarity) for x, y in zip(_sets_of(b.column(2)), _sets_of(b.column(3)), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        some = marked_sets(sets, marks_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
-        left, right = some.select(F.col("rep").alias("a"), F.col("set").alias("x")), some.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
-
-    stars = sets.mapInArrow(_stars, "key long, id long").withColumn("a", F.min("id").over(Window.partitionBy("key")))
-    links = checked(stars.where("a <> id").select("a", F.col("id").alias("b")))
-    known = cut(components(links).withColumnRenamed("node", "rep"))
-    marks = marks_of(known.select("rep"))
-    moved = marked_sets(sets, marks).join(known, "rep", "left").select("rep", "set", F.coalesce("component", "rep").alias("grp"))
-    grouped = moved.unionAll(marked_sets(sets, marks, False).select("rep", "set", F.col("rep").alias("grp")))
-    rows = grouped.mapInArrow(ask, "key long, id long, at long, grp long")
+    rows = sets.select("rep", "set", "grp").mapInArrow(ask, "key long, id long, at long, grp long")
     pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
-    comp = components(links.unionAll(checked(pairs))).withColumnRenamed("node", "rep")
+    return checked(pairs.distinct(), sets.select("rep", "set"), similarity)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, keep) of docs (doc_id, text): keep is true for the smallest doc_id of each near-duplicate group.
+
+    Shingles of five words, each once; documents whose shingle sets have a Jaccard similarity of 0.8 or more are
+    linked. Candidates come from multi-index hashing of fingerprints of the sets: see geometry() for the cut, by
+    which a pair at the similarity is missed in about 3 * MISS of cases, and pairs above it more rarely. No pair
+    is linked without a look at both sets, so documents below the similarity are never linked.
+
+    In a first round a few segments propose to each document its nearest smaller neighbour, which joins large
+    groups. In the second round all segments propose all candidates of different groups. Documents with more
+    than CROWD of these and those in buckets of more than HOT_ROWS entries (families that share a template) are
+    compared among each other by prefixes instead, without a miss. Either way each candidate pair is verified.
+
+    Texts without a word form one group, as equal texts do. Rows that share a doc_id stay or go together.
+    Null doc_ids stay. Empty tables give no rows; further columns are not looked at.
+    """
+    spark = docs.sparkSession
+    for_python(spark)
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    geo = geometry(docs.select("doc_id").count(), similarity)
+    fps = cut(docs.mapInArrow(trimmed(_keyed(geo.width)), "doc_id long, key binary, fp binary"))
+    reps = cut(fps.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
+    single = reps.where("fp is not null").withColumn("grp", F.lit(None).cast("long"))
+    hot = cut(asked_rows(single, geo, range(geo.segments), own_only=True).groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"))
+    busy = not hot.isEmpty()
+
+    def looked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(within(pairs, single, geo))
+        return checked(pairs, sets_of(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id"))), similarity)
+
+    rows = asked_rows(single, geo, range(EARLY))
+    early = looked(nearest_links(rows.join(hot, "key", "left_anti") if busy else rows, geo.check))
+    known = components(early).select(F.col("node").alias("rep"), "component")
+    grouped = cut(single.drop("grp").join(known, "rep", "left").withColumnRenamed("component", "grp"))
+    rows = asked_rows(grouped, geo, range(geo.segments))
+    lists = candidate_lists(rows.join(hot, "key", "left_anti") if busy else rows, geo.check)
+    links = early.unionAll(looked(lists.where("near is not null").select("id", F.explode("near").alias("x")).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))))
+    crowd = lists.where("near is null").select("id")
+    crowd = cut(crowd.unionAll(rows.join(hot, "key", "left_semi").select("id")).distinct()) if busy else crowd
+    if not crowd.isEmpty():
+        groups = grouped.select("rep", F.coalesce("grp", "rep").alias("grp"))
+        links = links.unionAll(prefix_links(cut(sets_of(docs, reps, crowd).join(groups, "rep")), similarity))
+    comp = components(links).withColumnRenamed("node", "rep")
     gone = comp.where("rep <> component").select("rep", F.lit(False).alias("first"))
-    marked = fps.join(reps, "key").join(gone, "rep", "left")
+    marked = fps.select("doc_id", "key").join(reps.select("key", "rep"), "key").join(gone, "rep", "left")
     return marked.select("doc_id", (F.coalesce("first", F.lit(True)) & (F.col("doc_id") == F.col("rep"))).alias("keep")).groupBy("doc_id").agg(F.max("keep").alias("keep"))
