@@ -69,3 +69,57 @@ def test_documents_of_the_mix_have_the_words_that_were_counted(spark):
     whole = {r[0]: set(WORD.findall(r[1] or "")) for r in rows}
     assert all(set(WORD.findall(r.text)) <= whole[r.doc_id] and r.n_chars == len(r.text) for r in got)
     assert mixing.taken_texts("a  b\nc d", 2, [0, 1], [1, 3], 4) == ["a  b\nc d", "c d", "c d"]
+
+
+def brute_mixture(rows, block):
+    """Every word of every source one by one."""
+    by = defaultdict(list)
+    for n, (doc, text, source) in enumerate(rows):
+        by[source].append((doc is not None, doc or 0, n, len(WORD.findall(text or ""))))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    size = [sum(x[-1] for x in by[s]) for s in names]
+    goal = mixing.targets(size, [(1.0, 2.0, 3.0)[i % 3] for i in range(len(names))])
+    blocks = [-(-s // block) for s in size]
+    due = [min(3 * b, round(t * b / s)) if s else 0 for s, t, b in zip(size, goal, blocks, strict=True)]
+    times = [[0] * b for b in blocks]
+    for _, i, first, n in mixing.draw(due, max(mixing.SHARD_BLOCKS, 1)):
+        for slot in range(first, first + n):
+            turn, index = divmod(slot, blocks[i])
+            times[i][mixing.permuted(np.array([index]), blocks[i], mixing.SEED + 7919 * i + turn)[0]] += 1
+    out = []
+    for i, s in enumerate(names):
+        at = 0
+        for _, _, n, words in sorted(by[s]):
+            out.append((n, words, size[i], goal[i], sum(times[i][w // block] for w in range(at, at + words))))
+            at += words
+    return sorted(out)
+
+
+def test_mixture_matches_a_plain_version(spark):
+    rows = [r for r in rows_of() if r[0] is not None and (r[0] != 3 or r[1] != "")]
+    rows = [(i * 10, t, s) for i, (_, t, s) in enumerate(rows)]  # one row for each doc_id: any order of equal ones is right
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mixture(df, block=16).collect()}
+    for n, words, source_size, target, taken in brute_mixture(rows, 16):
+        r = got[n * 10]
+        assert (r["size"], r.source_size, r.taken) == (words, source_size, taken) and r.target == pytest.approx(target)
+
+
+def test_many_sources_are_shared_quickly():
+    import time
+
+    rng = np.random.default_rng(8)
+    size = (10 ** rng.uniform(0, 6, 100_000)).astype(int).tolist()
+    began = time.time()
+    got = mixing.targets(size, [(1.0, 2.0, 3.0)[i % 3] for i in range(len(size))])
+    assert time.time() - began < 5 and sum(got) == pytest.approx(sum(size), rel=1e-9)
+    assert all(g <= 3 * s + 1e-6 for g, s in zip(got, size, strict=True))
+
+
+def test_equal_rows_share_what_is_taken(spark):
+    rows = [(7, "a b c d e f g h", "en", "s", 15)] * 3 + [(None, "x y z w", "en", "s", 7)] * 2 + [(8, "", "en", "s", 0), (9, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counted = sum(r.taken for r in mixing.mixture(df, block=4).collect())
+    got = mixing.mixed_documents(df, block=4)
+    assert got.columns == df.columns and sum(len(WORD.findall(r.text)) for r in got.collect()) == counted == 32
+    assert mixing.mixed_documents(df.where("false")).collect() == []

@@ -18,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, for_python, table
+from .common import cut, for_python, table, trimmed
 
 BLOCK, SHARD_BLOCKS, SEED = 64, 4096, 20_240_601
 WEIGHTS, MOST_COPIES = (1.0, 2.0, 3.0), 3
 MOST_SOURCES, MOST_SHARDS = 1_000_000, 10_000
+#: Draws (a shard and a source each) that the driver makes, if there are so many sources at least as many; slots of one task.
+DRAWS, SLOTS = 1_000_000, 1 << 16
+#: Characters of text that go back to Spark at once.
+PIECE = 1 << 20
 #: Documents of one source whose sizes are summed up in one place.
 GROUP = 2_000
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -42,7 +46,8 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -
         for i in above:
             out[i] = float(most * sizes[i])
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(above)]
+        closed = set(above)
+        open_ = [i for i in open_ if i not in closed]
     return out
 
 
@@ -56,7 +61,8 @@ def draw(due: list[int], shard_blocks: int, seed: int = SEED) -> list[tuple[int,
         while (more := n - int(got.sum())) > 0:  # what a source had no more of is drawn again from the others
             rest = left - got
             got = np.minimum(got + rng.multinomial(more, rest / rest.sum()), left)
-        out += [(shard, i, int(done[i]), int(got[i])) for i in np.flatnonzero(got).tolist()]
+        i = np.flatnonzero(got)
+        out += zip([shard] * len(i), i.tolist(), done[i].tolist(), got[i].tolist(), strict=True)
         done, left, shard = done + got, left - got, shard + 1
     return out
 
@@ -91,7 +97,7 @@ def _plan(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]
     goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(known))])
     blocks = [-(-s // block) for s in sizes]
     due = [min(MOST_COPIES * b, round(t * b / s)) if s else 0 for s, t, b in zip(sizes, goal, blocks, strict=True)]
-    shards = max(1, min(MOST_SHARDS, 10_000_000 // max(1, len(known))))
+    shards = max(1, min(MOST_SHARDS, DRAWS // max(1, len(known))))
     ranges = draw(due, max(SHARD_BLOCKS, -(-sum(due) // shards)))
     sources = spark.createDataFrame([(i, r.source, s, t, b) for i, (r, s, t, b) in enumerate(zip(known, sizes, goal, blocks, strict=True))], "sid int, source string, source_size long, target double, blocks long")
     parts = max(1, -(-max((r.docs for r in known), default=0) // GROUP))
@@ -112,7 +118,7 @@ def _plan(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), sid), pa.int32()), pa.array(found)], ["sid", "block"])
 
     drawn = spark.createDataFrame(ranges, "shard long, sid int, first long, n long")
-    counts = drawn.repartition("shard").mapInArrow(slots, "sid int, block long").groupBy("sid", "block").agg(F.count("*").alias("times"))
+    counts = drawn.repartition(min(MOST_SHARDS, 1 + sum(due) // SLOTS), "shard", "sid").mapInArrow(slots, "sid int, block long").groupBy("sid", "block").agg(F.count("*").alias("times"))
     return placed, sources, counts
 
 
@@ -150,51 +156,72 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     names = docs.columns
     placed, _, counts = _plan(docs.select("doc_id", "text", "source"), block)
     got = _pieces(placed, counts, block).groupBy("sid", "first").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("x"))
-    rows = placed.join(got, ["sid", "first"]).where("size > 0")
-    takes = rows.groupBy("doc_id", "source", "h").agg(F.collect_list(F.struct("first", F.col("x.block").alias("block"), F.col("x.times").alias("times"))).alias("takes"))
-    keyed = docs.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "h"])
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "h")]
-    both = keyed.alias("d").join(takes.alias("t"), same[0] & same[1] & same[2]).select(*(F.col(f"d.{c}") for c in names), "t.takes")
+    takes = placed.where("size > 0").join(got, ["sid", "first"]).select("h", "doc_id", "source", F.lit(0).alias("kind"), "first", F.col("x.block").alias("block"), F.col("x.times").alias("times"))
+    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in names)).alias("row")
+    rows = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "doc_id", "source", F.lit(1).alias("kind"), whole)
+    met = takes.unionByName(rows, allowMissingColumns=True).repartition("h", "doc_id").sortWithinPartitions("h", "doc_id", "source", "kind")
     at = names.index("text")
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []  # takes of the rows that are equal in doc_id, source and text; the first of these rows has them all
         for b in batches:
-            picked, texts = [], []
-            for i, (text, takes) in enumerate(zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)):
-                for t in takes:
-                    for said in taken_texts(text, t["first"], t["block"], t["times"], block):
-                        picked.append(i)
-                        texts.append(said)
-            out = pa.Table.from_batches([b]).drop_columns(["takes"]).take(pa.array(picked, pa.int64()))
-            out = out.set_column(at, "text", pa.array(texts, pa.string()))
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                out = out.set_column(k, "n_chars", pa.array([len(t) for t in texts], out.schema.field(k).type))
-            yield from out.combine_chunks().to_batches()
-
-    return both.mapInArrow(run, schema)
+            picked, texts, size = [], [], 0
+            kind, cols = b.column(3).to_pylist(), [b.column(n) for n in range(3)]
+            first, blocks, times = (b.column(n) for n in (4, 5, 6))
+            fields = b.column(7).flatten()
+            for i, now in enumerate(zip(*(c.to_pylist() for c in cols), strict=True)):
+                if now != key:
+                    key, held = now, []
+                if kind[i] == 0:
+                    held.append((first[i].as_py(), blocks[i].as_py(), times[i].as_py()))
+                elif held:
+                    text = fields[at][i].as_py()
+                    for said in (x for t in held for x in taken_texts(text, *t, block)):
+                        picked.append(i), texts.append(said)
+                        size += len(said)
+                    held = []
+                    if size > PIECE:
+                        yield rows_of(fields, picked, texts)
+                        picked, texts, size = [], [], 0
+            if picked:
+                yield rows_of(fields, picked, texts)
+
+    def rows_of(fields: list[pa.Array], picked: list[int], texts: list[str]) -> pa.RecordBatch:
+        rows = pa.array(picked, pa.int64())
+        new = {"text": pa.array(texts, pa.string())}
+        if "n_chars" in names:
+            new["n_chars"] = pa.array([len(t) for t in texts], fields[names.index("n_chars")].type)
+        return pa.RecordBatch.from_arrays([new[n] if n in new else f.take(rows) for n, f in zip(names, fields, strict=True)], names)
+
+    return met.mapInArrow(trimmed(run), schema)
 
 
 def taken_texts(text: str, first: int, blocks: list[int], times: list[int], block: int) -> list[str]:
     """For k = 1, 2, 3 the parts of a text whose blocks are taken k times or more."""
-    spans = [m.span() for m in WORD.finditer(text)]
+    raw = text.encode()
+    byte = np.frombuffer(raw, dtype=np.uint8)
+    inside = np.zeros(len(byte) + 2, dtype=np.int8)  # of a word; other bytes of a character are never these six
+    inside[1:-1] = (byte != 32) & ((byte < 9) | (byte > 13))
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out = []
     for k in range(1, MOST_COPIES + 1):
         runs: list[list[int]] = []
         for b, n in zip(blocks, times, strict=True):
             if n >= k:
-                lo, hi = max(b * block - first, 0), min((b + 1) * block - first, len(spans))
+                lo, hi = max(b * block - first, 0), min((b + 1) * block - first, len(start))
                 if runs and runs[-1][1] == lo:
                     runs[-1][1] = hi
                 else:
                     runs.append([lo, hi])
-        if runs == [[0, len(spans)]]:
+        if runs == [[0, len(start)]]:
             out.append(text)
         elif runs:
-            out.append("\n".join(text[spans[lo][0] : spans[hi - 1][1]] for lo, hi in runs))
+            out.append(b"\n".join([raw[start[lo] : end[hi - 1]] for lo, hi in runs]).decode())
     return out
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixture() of all documents; nulls, ties, repeated rows and empty tables as there."""
     return mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
