@@ -119,6 +119,6 @@ def test_relief_lines_handle_all_groups(spark, monkeypatch):
     monkeypatch.setattr(congestion, "mid_flow_groups", lambda *a: groups)
     monkeypatch.setattr(congestion, "group_centres", lambda *a: groups.select("component", "node"))
     monkeypatch.setattr(congestion, "bounds", lambda c, t: c.selectExpr("component", "node", "100L AS root", "5L AS hops"))
-    monkeypatch.setattr(congestion, "link_along_line", lambda left, right, e, p, d: left.selectExpr("node AS a", "100L AS b", "1.5D AS length"))
+    monkeypatch.setattr(congestion, "links_along_lines", lambda left, right, e, p, d, by: left.selectExpr("component", "generator", "node AS a", "100L AS b", "1.5D AS length"))
     got = congestion.relief_lines(groups, tree, groups, tree).collect()
     assert sorted((r.component, r.generator, r.a, r.b, r.length, r.cost) for r in got) == [(n, 100, n, 100, 1.5, 1.5) for n in range(30)]

@@ -9,7 +9,7 @@ LOCAL_EDGES = 500_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
@@ -18,6 +18,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not where:
         import tempfile
 
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         where = tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(where)
     return where

@@ -158,9 +158,9 @@ def contract_chains(edges: DataFrame, keep: DataFrame) -> DataFrame:
     e = simple.join(inner.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src", "left").join(inner.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst", "left")
     plain = e.where("cs is null and cd is null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "length")
     part = e.where("cs is not null or cd is not null").withColumn("chain", F.coalesce("cs", "cd"))
-    outer = F.array_compact(F.array(F.when(F.col("cs").isNull(), F.col("src")), F.when(F.col("cd").isNull(), F.col("dst"))))
-    chain = part.groupBy("chain").agg(F.sum("length").alias("length"), F.sort_array(F.flatten(F.collect_list(outer))).alias("tips"))
-    long = chain.where("size(tips) = 2 and tips[0] <> tips[1]").select(F.col("tips")[0].alias("src"), F.col("tips")[1].alias("dst"), "length")
+    a, b = F.when(F.col("cs").isNull(), F.col("src")), F.when(F.col("cd").isNull(), F.col("dst"))  # tips; a chain has at most two
+    chain = part.groupBy("chain").agg(F.sum("length").alias("length"), F.min(F.least(a, b)).alias("src"), F.max(F.greatest(a, b)).alias("dst"))
+    long = chain.where("src <> dst").select("src", "dst", "length")
     best = cut(plain.unionAll(long).groupBy("src", "dst").agg(F.min("length").alias("length")))
     return numbered(best, ["src", "dst"])
 

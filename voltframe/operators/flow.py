@@ -99,6 +99,13 @@ def unserved(shares: DataFrame) -> DataFrame:
     return shares.groupBy("node").agg(F.max("load").alias("load"), (F.max("load") - F.sum("supply")).alias("left"))
 
 
+def path_losses(paths: DataFrame, flows: DataFrame, edges: DataFrame, extra: float) -> DataFrame:
+    """(root, target, loss): what more flow (extra) over each path (root, target, edge) loses more on its lines, all in all."""
+    known = edges.select(F.col("id").alias("edge"), "length").join(flows.select("edge", "flow"), "edge", "left")
+    more = exprs.marginal_loss(F.coalesce("flow", F.lit(0.0)), F.lit(extra), F.col("length"))
+    return paths.where("edge is not null").join(known, "edge").groupBy("root", "target").agg(F.sum(more).alias("loss"))
+
+
 def nearest_generator(tree: DataFrame) -> DataFrame:
     """(node, root, dist): the generator nearest by lines; ties go to the smaller id."""
     return tree.groupBy("node").agg(F.min_by(F.struct("root", "dist"), F.struct("dist", "root")).alias("x")).select("node", "x.root", "x.dist")

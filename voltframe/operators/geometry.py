@@ -119,6 +119,24 @@ def merge_points(points: DataFrame, distance: float) -> DataFrame:
     return both.groupBy("component").applyInPandas(run, "id long, into long, x double, y double")
 
 
+def merged_map(lines: DataFrame, eps: float, distance: float) -> tuple[DataFrame, DataFrame]:
+    """Points (id, x, y) and edges (src, dst, length) of a map of lines (line, seq, x, y): lines are smoothed, then vertices near to each other merged.
+
+    Vertices count from 0 by line and place; edges join merged points that follow each other on some line, each pair once.
+    """
+    from voltframe.operators.components import numbered
+
+    v = numbered(smooth(lines, eps), ["line", "seq"])
+    merged = merge_points(v.select("id", "x", "y"), distance)
+    at = v.select("id", "line", "seq").join(merged, "id")
+    w = Window.partitionBy("line").orderBy("seq")
+    e = at.select(F.col("into").alias("a"), F.lead("into").over(w).alias("b")).where("b is not null and a <> b")
+    points = merged.groupBy(F.col("into").alias("id")).agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    pairs = e.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    p, q = points.toDF("src", "x1", "y1"), points.toDF("dst", "x2", "y2")
+    return points, pairs.join(p, "src").join(q, "dst").select("src", "dst", exprs.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("length"))
+
+
 def connect(items: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
     """(src, dst, length): for each item's point that no line ends at, a line to the nearest point where one does."""
     from voltframe.operators.graph import ends

@@ -53,8 +53,14 @@ def complete_edges(points: DataFrame) -> DataFrame:
     return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", exprs.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("length"))
 
 
+#: Ids of which combinations() makes all subsets; their number grows with a power of this.
+MOST_ITEMS = 1000
+
+
 def combinations(items: DataFrame, most: int) -> DataFrame:
-    """(items) of all subsets of 1 to most of the ids (id) of a short list."""
+    """(items) of all subsets of 1 to most of the ids (id) of a short list; more than MOST_ITEMS ids are refused."""
+    if items.limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
+        raise ValueError(f"subsets of more than {MOST_ITEMS} items")
     level = items.select(F.array("id").alias("items"))
     out = level
     for _ in range(most - 1):
@@ -67,27 +73,30 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def nearest(queries: DataFrame, points: DataFrame, size: float = 0.25, rounds: int = 40) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, size: float = 0.25, rounds: int = 40, by: list[str] | None = None) -> DataFrame:
     """(qid, pid, dist): for each query (qid, x, y) the nearest point (pid, x, y); ties go to the smaller id.
 
     Points are joined by cells of a grid: first the nine cells around a query, then, for queries whose best is
-    not certain yet, cells twice as wide, and so on. No query meets all points unless they are few.
+    not certain yet, cells twice as wide, and so on. No query meets all points unless they are few. With columns
+    by, which both have, only points of a query's own group count; they come first in the result.
     """
     from voltframe.functions.sessions import cut
 
-    left, out = cut(queries.select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"))), None
-    spread = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).first()
-    if not spread[2]:
+    by = by or []
+    left, out = cut(queries.select(*by, "qid", F.col("x").alias("qx"), F.col("y").alias("qy"))), None
+    if by:
+        left = cut(left.join(points.select(*by).distinct(), by, "left_semi"))
+    elif points.isEmpty():
         return left.select("qid", F.lit(None).cast("long").alias("pid"), F.lit(None).cast("double").alias("dist")).where("false")
     for _ in range(rounds):
-        p = points.select("pid", "x", "y", _cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy"))
+        p = points.select(*by, "pid", "x", "y", _cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy"))
         around = F.explode(F.expr("flatten(transform(sequence(-1l, 1l), a -> transform(sequence(-1l, 1l), b -> struct(a as a, b as b))))"))
-        q = left.withColumn("o", around).select("qid", "qx", "qy", (_cell(F.col("qx"), size) + F.col("o.a")).alias("cx"), (_cell(F.col("qy"), size) + F.col("o.b")).alias("cy"))
-        d = q.join(p, ["cx", "cy"]).select("qid", "pid", exprs.distance(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")).alias("dist"))
-        best = cut(d.groupBy("qid").agg(F.min_by(F.struct("pid", "dist"), F.struct("dist", "pid")).alias("b")).select("qid", "b.pid", "b.dist"))
+        q = left.withColumn("o", around).select(*by, "qid", "qx", "qy", (_cell(F.col("qx"), size) + F.col("o.a")).alias("cx"), (_cell(F.col("qy"), size) + F.col("o.b")).alias("cy"))
+        d = q.join(p, [*by, "cx", "cy"]).select(*by, "qid", "pid", exprs.distance(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")).alias("dist"))
+        best = cut(d.groupBy(*by, "qid").agg(F.min_by(F.struct("pid", "dist"), F.struct("dist", "pid")).alias("b")).select(*by, "qid", "b.pid", "b.dist"))
         sure = best.where(F.col("dist") <= size)
         out = sure if out is None else out.unionAll(sure)
-        left = cut(left.join(sure, "qid", "left_anti"))
+        left = cut(left.join(sure, [*by, "qid"], "left_anti"))
         if left.isEmpty():
             return out
         size *= 2
@@ -111,6 +120,13 @@ def closest_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     return n.orderBy("dist", "qid", "pid").limit(1).select(F.col("qid").alias("a"), F.col("pid").alias("b"), "dist")
 
 
+def closest_pairs(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b, dist): the same for each group of two sets (by, id, x, y) that both have it."""
+    n = nearest(left.select(*by, F.col("id").alias("qid"), "x", "y"), right.select(*by, F.col("id").alias("pid"), "x", "y"), by=by)
+    best = n.groupBy(*by).agg(F.min_by(F.struct("qid", "pid", "dist"), F.struct("dist", "qid", "pid")).alias("m"))
+    return best.select(*by, F.col("m.qid").alias("a"), F.col("m.pid").alias("b"), "m.dist")
+
+
 def nodes_near(points: DataFrame, segments: DataFrame, distance: float) -> DataFrame:
     """(segment, id, dist): points in the box around each segment (segment, x1, y1, x2, y2), and that near to its line.
 
@@ -147,9 +163,99 @@ def flow_per_length(flows: DataFrame, edges: DataFrame, longest: float) -> DataF
 
 
 def top_farthest(tree: DataFrame, n: int = 2) -> DataFrame:
-    """(root, node, dist, place): the n farthest nodes of each root."""
-    w = Window.partitionBy("root").orderBy(F.desc("dist"), "node")
-    return tree.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("root", "node", "dist", "place")
+    """(root, node, dist, place): the n farthest nodes of each root, one after the other by partial aggregates."""
+    out, left = None, tree.select("root", "node", "dist")
+    for place in range(1, n + 1):
+        best = left.groupBy("root").agg(F.max_by(F.struct("node", "dist"), F.struct("dist", -F.col("node"))).alias("x")).select("root", "x.node", "x.dist", F.lit(place).alias("place"))
+        out = best if out is None else out.unionAll(best)
+        left = left.join(best.select("root", "node"), ["root", "node"], "left_anti")
+    return out
+
+
+def possible(edges: DataFrame) -> DataFrame:
+    """Lines with two different ends."""
+    return edges.where("src <> dst")
+
+
+def shorter(edges: DataFrame, limit: float) -> DataFrame:
+    """Lines shorter than a limit."""
+    return edges.where(F.col("length") < limit)
+
+
+def average(values: DataFrame, column: str) -> DataFrame:
+    """One row: the mean of a column, null without values."""
+    return values.agg(F.avg(column).alias(column))
+
+
+def total_length(edges: DataFrame) -> DataFrame:
+    """One row: the sum of all lengths, 0 without lines."""
+    return edges.agg(F.coalesce(F.sum("length"), F.lit(0.0)).alias("length"))
+
+
+def extremes(edges: DataFrame) -> DataFrame:
+    """(shortest, longest): ids of the shortest and the longest line; ties go to the smaller id."""
+    return edges.agg(F.min_by("id", F.struct("length", "id")).alias("shortest"), F.max_by("id", F.struct("length", -F.col("id"))).alias("longest"))
+
+
+def by_length(edges: DataFrame) -> DataFrame:
+    """(id, place): lines from the shortest on, counted from 1, without one task that sorts them all."""
+    from voltframe.operators.components import numbered
+
+    return numbered(edges.select("id", "length"), ["length", "id"], "place").select("id", (F.col("place") + 1).cast("long").alias("place"))
+
+
+def line_details(edges: DataFrame) -> DataFrame:
+    """(id, low, high, length): what an info box says of a line, the smaller end first."""
+    return edges.select("id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), "length")
+
+
+def sizes(**tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table."""
+    out = None
+    for name, rows in tables.items():
+        n = rows.agg(F.count("*").alias(name))
+        out = n if out is None else out.join(n)
+    return out
+
+
+def name_parts(items: DataFrame, name: str, head: int) -> DataFrame:
+    """items with number (digits at the end of a name, null if there are none) and head (its first letters)."""
+    digits = F.regexp_extract(name, r"([0-9]+)$", 1)
+    return items.withColumn("number", F.nullif(digits, F.lit("")).cast("long")).withColumn("head", F.substring(name, 1, head))
+
+
+def stacked(table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, v): the columns of a table under each other, as text."""
+    return table.select(key, F.explode(F.array(*(F.col(c).cast("string") for c in columns))).alias("v"))
+
+
+def placed_nodes(ids: DataFrame, load: int = 10) -> DataFrame:
+    """(id, x, y, load): pseudorandom places in the unit square for ids (id), the same each time."""
+    i = F.col("id")
+    return ids.select("id", (i * 7919 % 10007 / 10007.0).alias("x"), (i * 104729 % 10009 / 10009.0).alias("y"), F.lit(load).alias("load"))
+
+
+def same_ending(left: DataFrame, left_name: str, right: DataFrame, right_name: str, at: int) -> DataFrame:
+    """Rows of two tables whose names agree from a place on (counted from 1)."""
+    k = "_ending"
+    return left.withColumn(k, F.substring(left_name, at, 1 << 20)).join(right.withColumn(k, F.substring(right_name, at, 1 << 20)), k).drop(k)
+
+
+def looked_up(items: DataFrame, *tables: tuple[DataFrame, str, str]) -> DataFrame:
+    """items joined to each table (table, its key, the items' column) in turn; items without a match stay."""
+    for table, key, column in tables:
+        items = items.join(table, F.col(key) == F.col(column), "left")
+    return items
+
+
+def missing_codes(codes: DataFrame, code: str, used: DataFrame, column: str) -> DataFrame:
+    """Rows of codes whose code no row of used has in a column."""
+    return codes.join(used.select(F.col(column).alias(code)), code, "left_anti").select(codes.columns)
+
+
+def request_size(places: DataFrame, attributes: int, years: int, hours: int = 8760) -> DataFrame:
+    """(cells): values that a download for all places would hold."""
+    return places.agg((F.count("*") * attributes * years * hours).alias("cells"))
 
 
 def popularity(edges_of_paths: DataFrame, top: int = 51) -> DataFrame:

@@ -26,6 +26,18 @@ def subtree_totals(tree: DataFrame, loads: DataFrame, edges: DataFrame) -> DataF
     return out.select("root", "node", F.col("nodes").cast("long").alias("nodes"), "length", "load")
 
 
+def info_lines(summary: DataFrame, edges: DataFrame) -> DataFrame:
+    """(place, line): the text of a report: lines and their length, load, loss, power and generators, frequency."""
+    size = edges.agg(F.count("*").alias("lines"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length"))
+    said = [
+        F.format_string("%d lines of %.2f in all", "lines", "length"),
+        F.format_string("load %.2f, loss %.2f (%.2f %%)", "load", "loss", F.coalesce("loss_percent", F.lit(0.0))),
+        F.format_string("power %.2f of %d generators", "power", "generators"),
+        F.format_string("frequency %.4f", "frequency"),
+    ]
+    return summary.join(F.broadcast(size)).select(F.posexplode(F.array(*said)).alias("place", "line"))
+
+
 def plot_segments(flows: DataFrame, edges: DataFrame, points: DataFrame, n: int = 10) -> DataFrame:
     """(edge, x1, y1, x2, y2, bin, colour): lines coloured by the bin of their flow."""
     from voltframe.operators.relational import with_ends

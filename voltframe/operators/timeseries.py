@@ -111,10 +111,22 @@ def tagged_fall_back(rows: DataFrame) -> DataFrame:
 
 def label_times(labels: DataFrame, grid: DataFrame) -> DataFrame:
     """(label, ts): the n-th distinct label belongs to the n-th time of a day's grid."""
-    w = Window.orderBy("label")
-    a = labels.select("label").distinct().withColumn("n", F.row_number().over(w))
-    b = grid.withColumn("n", F.row_number().over(Window.orderBy("ts")))
-    return a.join(b, "n").select("label", "ts")
+    from voltframe.operators.components import numbered
+
+    return numbered(labels.select("label").distinct(), ["label"], "n").join(numbered(grid.select("ts"), ["ts"], "n"), "n").select("label", "ts")
+
+
+def of_component(prices: DataFrame, column: str, component: str) -> DataFrame:
+    """Rows of one kind of price."""
+    return prices.where(F.col(column) == component)
+
+
+def distinct_union(*tables: DataFrame) -> DataFrame:
+    """Rows of all tables once, by column names; rows with a null are left out."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.distinct().dropna()
 
 
 def month(prices: DataFrame, start: str, end: str, margin_hours: int = 1) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltframe.functions.sessions import cut
@@ -59,6 +59,26 @@ class Kernel:
         return out
 
 
+    def nearest(self, roots: list[int]) -> pd.DataFrame:
+        """(node, root, dist): of these roots the nearest one of each node; ties go to the smaller one."""
+        at = np.searchsorted(self.nodes, roots)
+        inside = [(r, int(a)) for r, a in zip(roots, at.tolist(), strict=True) if a < len(self.nodes) and self.nodes[a] == r]
+        best: list = [None] * len(self.nodes)
+        heap = [(0.0, r, a) for r, a in inside]
+        heapq.heapify(heap)
+        while heap:
+            d, r, v = heapq.heappop(heap)
+            if best[v] is not None:
+                continue
+            best[v] = (d, r)
+            for k in range(self.start[v], self.start[v + 1]):
+                if best[self.to[k]] is None:
+                    heapq.heappush(heap, (d + self.length[k], r, self.to[k]))
+        seen = [i for i in range(len(best)) if best[i] is not None]
+        alone = [r for r in roots if r not in {x for x, _ in inside}]
+        return pd.DataFrame({"node": [*self.nodes[seen].tolist(), *alone], "root": [*(best[i][1] for i in seen), *alone], "dist": [*(best[i][0] for i in seen), *[0.0] * len(alone)]})
+
+
 def sssp(edges: DataFrame, roots: DataFrame, local: bool | None = None, rounds: int = 100_000) -> DataFrame:
     """(root, node, dist, hops, parent, edge) for each node that each root (node) reaches, itself included."""
     spark = edges.sparkSession
@@ -74,15 +94,62 @@ def sssp(edges: DataFrame, roots: DataFrame, local: bool | None = None, rounds:
         return roots.select(F.col("node").cast("long")).distinct().repartition("node").mapInPandas(run, SCHEMA)
     d = cut(directed(edges).where("node <> other").repartition("node"))
     none = F.lit(None).cast("long")
-    known = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("hops"), none.alias("parent"), none.alias("edge"), F.lit(True).alias("new")).distinct())
-    rank = lambda *c: F.struct(*c)
-    for _ in range(rounds):
-        step = known.where("new").join(d, "node").select("root", F.col("other").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"), F.col("id").alias("edge"), F.lit(True).alias("new"))
-        both = known.withColumn("new", F.lit(False)).unionByName(step)
-        key = rank("dist", "hops", F.coalesce("parent", F.lit(-1)), F.coalesce("edge", F.lit(-1)), "new")
-        known = cut(both.groupBy("root", "node").agg(F.min_by(F.struct("dist", "hops", "parent", "edge", "new"), key).alias("x")).select("root", "node", "x.*"))
-        if known.where("new").isEmpty():
-            return known.drop("new")
+    start = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("hops"), none.alias("parent"), none.alias("edge")).distinct())
+    return _relaxed(start, d, ["root", "node"], rounds)
+
+
+def _all(pieces: list[DataFrame]) -> DataFrame:
+    out = pieces[0]
+    for p in pieces[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def nearest_root(edges: DataFrame, roots: DataFrame, local: bool | None = None, rounds: int = 100_000) -> DataFrame:
+    """(node, root, dist) for each node that any root (node) reaches: the nearest root; ties go to the smaller one.
+
+    One search from all roots at once, however many there are.
+    """
+    spark = edges.sparkSession
+    rows = local_graph(edges) if local is not False else None
+    if rows is None:
+        d = cut(directed(edges).where("node <> other").repartition("node"))
+        none = F.lit(None).cast("long")
+        start = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("hops"), none.alias("parent"), none.alias("edge")).distinct())
+        return _relaxed(start, d, ["node"], rounds).select("node", "root", "dist")
+    kernel = spark.sparkContext.broadcast(Kernel(rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [r for b in batches for r in b["node"].tolist()]
+        if own:
+            yield kernel.value.nearest(own)
+
+    # a task with roots of its own; the parts' nearest roots are compared afterwards
+    parts = roots.select(F.col("node").cast("long")).distinct().repartition("node").mapInPandas(run, "node long, root long, dist double")
+    return parts.groupBy("node").agg(F.min_by(F.struct("root", "dist"), F.struct("dist", "root")).alias("x")).select("node", "x.root", "x.dist")
+
+
+def _relaxed(start: DataFrame, d: DataFrame, key: list[str], rounds: int) -> DataFrame:
+    """The least rows (root, node, dist, hops, parent, edge) by key that lines d lead to from start.
+
+    Each round takes the rows improved last time a line further and keeps those that are better than all before.
+    What was found is kept in pieces, one a round; only new rows move, and a round looks up its own keys in the pieces.
+    """
+    value = ["root", "node", "dist", "hops", "parent", "edge"]
+    rank = F.struct("dist", "root", "hops", F.coalesce("parent", F.lit(-1)), F.coalesce("edge", F.lit(-1)))
+    best = lambda rows: rows.groupBy(*key).agg(F.min_by(F.struct(*value), rank).alias("x")).select("x.*")
+    pieces, front = [start], start
+    for n in range(rounds):
+        step = front.join(d, "node").select("root", F.col("other").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("parent"), F.col("id").alias("edge"))
+        found = cut(best(step))
+        known = _all(pieces).join(found.select(*key), key, "left_semi")
+        old = known.groupBy(*key).agg(F.min(rank).alias("old"))
+        front = cut(found.withColumn("now", rank).join(old, key, "left").where("old is null or now < old").select(*value))
+        if front.isEmpty():
+            return best(_all(pieces))
+        pieces.append(front)
+        if n % 8 == 7:
+            pieces = [cut(best(_all(pieces)))]
     raise RuntimeError("shortest paths did not settle")
 
 
@@ -106,21 +173,23 @@ def bfs_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return e.groupBy("id").agg((F.min("hops") + 1).alias("level"))
 
 
-def paths(tree: DataFrame, targets: DataFrame, rounds: int = 100_000) -> DataFrame:
+def paths(tree: DataFrame, targets: DataFrame, rounds: int = 64) -> DataFrame:
     """(root, target, step, node, edge, cum) along shortest paths to targets (node), from the root (step 0) on.
 
-    Walks up by predecessors from all targets at once, a level a round.
+    Predecessors are doubled, so as many rounds are needed as the longest path's hops have binary digits: after
+    round k all predecessors less than 2 ** (k + 1) hops back are known.
     """
     t = targets.select(F.col("node").alias("target")).distinct()
-    at = cut(tree.join(t, tree.node == t.target).select("root", "target", "node", "parent", "edge", F.col("hops").alias("step"), F.col("dist").alias("cum")))
-    out, front = at, at
-    up = tree.select(F.col("root").alias("r"), F.col("node").alias("n"), F.col("parent").alias("p"), F.col("edge").alias("e"), F.col("hops").alias("h"), F.col("dist").alias("d"))
-    for n in range(rounds):
-        front = cut(front.where("parent is not null").join(up, (F.col("root") == F.col("r")) & (F.col("parent") == F.col("n"))).select("root", "target", F.col("n").alias("node"), F.col("p").alias("parent"), F.col("e").alias("edge"), F.col("h").alias("step"), F.col("d").alias("cum")))
-        if front.isEmpty():
-            return out.select("root", "target", "step", "node", "edge", "cum")
-        out = cut(out.unionAll(front)) if n % 8 == 7 else out.unionAll(front)
-    raise RuntimeError("paths did not end")
+    tree = cut(tree.select("root", "node", "parent", "edge", "hops", "dist"))
+    found = cut(tree.join(t, tree.node == t.target).select("root", "target", "node"))
+    up = cut(tree.where("parent is not null").select("root", "node", F.col("parent").alias("up")))
+    for _ in range(rounds):
+        if up.isEmpty():
+            break
+        more = found.join(up, ["root", "node"]).select("root", "target", F.col("up").alias("node"))
+        found = cut(found.unionAll(more))
+        up = cut(up.join(up.select("root", F.col("node").alias("up"), F.col("up").alias("higher")), ["root", "up"]).select("root", "node", F.col("higher").alias("up")))
+    return found.join(tree, ["root", "node"]).select("root", "target", F.col("hops").alias("step"), "node", "edge", F.col("dist").alias("cum"))
 
 
 def path_arrays(tree: DataFrame, targets: DataFrame) -> DataFrame:
@@ -132,8 +201,7 @@ def path_arrays(tree: DataFrame, targets: DataFrame) -> DataFrame:
 
 def farthest(tree: DataFrame, metric: str = "dist") -> DataFrame:
     """(root, node, dist, hops): the farthest node of each root; ties go to the smallest id."""
-    w = Window.partitionBy("root").orderBy(F.desc(metric), "node")
-    return tree.withColumn("n", F.row_number().over(w)).where("n = 1").select("root", "node", "dist", "hops")
+    return tree.groupBy("root").agg(F.max_by(F.struct("node", "dist", "hops"), F.struct(metric, -F.col("node"))).alias("x")).select("root", "x.*")
 
 
 def longest_path(edges: DataFrame, start: DataFrame, local: bool | None = None) -> DataFrame:

@@ -255,9 +255,9 @@ def _(s, d):
     return cluster.ranked_members(cluster.predict(T.points(s, d), centres(s))).select("cluster", "id", F.col("place").cast("long").alias("place"))
 
 
-@query("clu_8_silhouette", f"+{_PRED}, q AS (SELECT * FROM pred WHERE id >= 1000000000), m AS (SELECT a.id, a.cluster AS c, b.cluster AS o, avg(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM q a, q b GROUP BY 1, 2, 3), ab AS (SELECT id, max(d) FILTER (c = o) AS a, min(d) FILTER (c <> o) AS b FROM m GROUP BY id) SELECT round(avg((b - a) / greatest(a, b)), 9) AS silhouette FROM ab", "points")
+@query("clu_8_silhouette", f"+{_PRED}, q AS (SELECT * FROM pred), m AS (SELECT a.id, a.cluster AS c, b.cluster AS o, avg(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM q a, q b GROUP BY 1, 2, 3), ab AS (SELECT id, max(d) FILTER (c = o) AS a, min(d) FILTER (c <> o) AS b FROM m GROUP BY id) SELECT round(avg((b - a) / greatest(a, b)), 9) AS silhouette FROM ab", "points")
 def _(s, d):
-    p = suppliers(s, d)
+    p = T.points(s, d)
     near = cluster.predict(p, centres(s)).select("id", "cluster")
     return cluster.silhouette(p.join(near, "id")).select(*r9("silhouette"))
 
@@ -293,7 +293,11 @@ def _(s, d):
     return congestion.mid_flow_groups(flows(s, d), T.tree(s, d))
 
 
-@query("cng_2_bounds")
+_MID = "r AS (SELECT edge, dense_rank() OVER (ORDER BY round(flow, 9)) - 1 AS k FROM flows), m AS (SELECT src, dst FROM r JOIN tree t ON t.id = edge, (SELECT count(DISTINCT k) AS g FROM r) WHERE k BETWEEN 5 * g // 10 AND 8 * g // 10), n AS (SELECT src AS node FROM m UNION SELECT dst FROM m), e AS (SELECT src AS a, dst AS b, length FROM tree WHERE src IN (FROM n) AND dst IN (FROM n)), both_ways AS (SELECT a, b, length FROM e UNION ALL SELECT b, a, length FROM e), col(node, component) USING KEY (node) AS (SELECT node, node FROM n UNION (SELECT w.b, min(c.component) FROM col c JOIN both_ways w ON w.a = c.node LEFT JOIN recurring.col k ON k.node = w.b WHERE c.component < k.component GROUP BY w.b))"
+_WALK = "{name} AS (SELECT component AS root, node, 0.0::DOUBLE AS dist, NULL::BIGINT AS parent, [node]::BIGINT[] AS nodes, [0.0::DOUBLE] AS dists FROM ({start}) UNION ALL SELECT w.root, a.b, w.dist + a.length, w.node, list_append(w.nodes, a.b), list_append(w.dists, w.dist + a.length) FROM {name} w JOIN both_ways a ON a.a = w.node WHERE w.parent IS NULL OR a.b <> w.parent)"
+
+
+@query("cng_2_bounds", f"{FLOW}, {_MID}, {_WALK.format(name='w1', start='SELECT component, min(node) AS node FROM col GROUP BY component')}, far AS (SELECT root AS component, max_by(node, (dist, -node)) AS node FROM w1 GROUP BY root), {_WALK.format(name='w2', start='SELECT component, node FROM far')}, fin AS (SELECT root, max_by(nodes, (dist, -node)) AS nodes, max_by(dists, (dist, -node)) AS dists, max(dist) AS total FROM w2 GROUP BY root), mid AS (SELECT root AS component, min_by(node, (abs(cum - total / 2), node)) AS node FROM (SELECT root, total, unnest(nodes) AS node, unnest(dists) AS cum FROM fin) GROUP BY root), near AS (SELECT node, min_by(root, (dist, root)) AS root, min_by(hops, (dist, root)) AS hops FROM walk GROUP BY node) SELECT component, node, root, hops FROM mid JOIN near USING (node)", "sources", "tree", recursive=True)
 def _(s, d):
     t, tree = T.tree(s, d), search(s, d)
     groups = congestion.mid_flow_groups(flows(s, d), t)
@@ -332,7 +336,7 @@ def _(s, d):
     return congestion.trial_losses(T.tree(s, d), c, congestion.trials(c, 2, 3.0), demand(s, d), generators(s, d)).select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "loss_percent", *r9("length"))
 
 
-@query("cng_8_corridors")
+@query("cng_8_corridors", f"+{ADJ}, walk AS (SELECT 99::BIGINT AS node, NULL::BIGINT AS parent, [99]::BIGINT[] AS nodes UNION ALL SELECT a.other, w.node, list_append(w.nodes, a.other) FROM walk w JOIN adj a ON a.node = w.node WHERE w.parent IS NULL OR a.other <> w.parent), p AS (SELECT node AS target, nodes, list_position(nodes, 0::BIGINT) AS hub, len(nodes) AS n, 2 * (len(nodes) // 6) AS step FROM walk WHERE node < 1000000000 AND len(nodes) > 8 AND list_contains(nodes, 0::BIGINT)) SELECT DISTINCT 99::BIGINT AS root, target, nodes[greatest(hub - step, 1)] AS first, nodes[least(hub + step, n)] AS last FROM p", "tree", recursive=True)
 def _(s, d):
     p = traverse.path_arrays(traverse.sssp(T.tree(s, d), one(s, 99)), customers(s, d, 1))
     return congestion.corridor_links(p, one(s, 0), 8)
@@ -377,9 +381,9 @@ def _(s, d):
     return resilience.sigma(T.mesh(s, d), 0.5).select("node", *r9("sigma"))
 
 
-@query("res_8_evenness")
+@query("res_8_evenness", f"{_P3}, {_TRI}, t AS (SELECT i, sum(v) AS v FROM p3 GROUP BY i), sig AS (SELECT 0.5 * coalesce(t.v * t.v / (SELECT sum(v) FROM p3 WHERE i <= j), 0) + 0.5 * coalesce(closed / ((SELECT sum(closed) FROM tri) / 3.0::DOUBLE), 0) AS sigma FROM (SELECT DISTINCT i FROM u) n LEFT JOIN t ON t.i = n.i LEFT JOIN tri ON tri.node = n.i) SELECT 'paths' AS kind, round(CASE WHEN min(sigma) = 0 THEN 0 ELSE max(sigma) / min(sigma) END, 9) AS value FROM sig", "mesh")
 def _(s, d):
-    return resilience.resiliency(T.mesh(s, d), "paths", 0.5)
+    return resilience.resiliency(T.mesh(s, d), "paths", 0.5).select("kind", *r9("value"))
 
 
 @query("res_9_10_estrada")
@@ -387,12 +391,31 @@ def _(s, d):
     return resilience.estrada(T.mesh(s, d)).select("nodes", *r9("estrada"))
 
 
-@query("geo_1_smooth")
+@query("res_11_inverse", "SELECT s_suppkey AS i, s_suppkey AS j, 1.0::DOUBLE AS v FROM supplier")
+def _(s, d):
+    k = F.col("s_suppkey")
+    rows = T.read(s, d, "supplier").select(k.alias("i"), F.explode(F.array(F.struct(k.alias("j"), F.lit(3.0).alias("v")), F.struct(F.greatest(k - 1, F.lit(0)).alias("j"), F.lit(1.0).alias("v")))).alias("e"))
+    a = rows.groupBy("i", F.col("e.j").alias("j")).agg(F.sum("e.v").alias("v"))
+    return resilience.product(a, resilience.inverse(a)).select("i", "j", *r9("v")).where("v <> 0")
+
+
+def _kept(fixed: str) -> str:
+    """Vertices that stay by Ramer, Douglas and Peucker's rule; fixed tells a vertex p that stays anyway."""
+    dx, dy = "(pb.x - pa.x)", "(pb.y - pa.y)"
+    size = f"sqrt({dx} * {dx} + {dy} * {dy})"
+    flat = f"abs({dx} * (pa.y - p.y) - (pa.x - p.x) * {dy}) / {size}"
+    far = f"CASE WHEN {size} > 0 THEN {flat} ELSE sqrt((p.x - pa.x) * (p.x - pa.x) + (p.y - pa.y) * (p.y - pa.y)) END"
+    inner = f"SELECT g.line, g.a, g.b, p.seq, {fixed} AS fixed, {far} AS d FROM seg g JOIN polylines p ON p.line = g.line AND p.seq > g.a AND p.seq < g.b JOIN polylines pa ON pa.line = g.line AND pa.seq = g.a JOIN polylines pb ON pb.line = g.line AND pb.seq = g.b"
+    cut = f"SELECT line, a, b, CASE WHEN bool_or(fixed) THEN min(seq) FILTER (fixed) ELSE min_by(seq, (-d, seq)) END AS m, bool_or(fixed) OR max(d) > 2.0 AS split FROM ({inner}) GROUP BY line, a, b"
+    return f"seg AS (SELECT line, 0::BIGINT AS a, max(seq) AS b FROM polylines GROUP BY line UNION ALL SELECT line, unnest([a, m]) AS a, unnest([m, b]) AS b FROM ({cut}) WHERE split) SELECT line, seq, x, y FROM polylines SEMI JOIN (SELECT line, a AS seq FROM seg UNION SELECT line, b FROM seg) USING (line, seq)"
+
+
+@query("geo_1_smooth", f"+{_kept('false')}", "polylines", recursive=True)
 def _(s, d):
     return geometry.smooth(T.polylines(s, d), 2.0)
 
 
-@query("geo_2_simplify")
+@query("geo_2_simplify", f"+j AS (SELECT x, y FROM polylines GROUP BY x, y HAVING count(*) > 1), {_kept('(p.x, p.y) IN (SELECT (x, y) FROM j)')}", "polylines", recursive=True)
 def _(s, d):
     return geometry.simplify(T.polylines(s, d), 2.0)
 
@@ -415,7 +438,7 @@ def _(s, d):
     return geometry.line_edges(T.polylines(s, d)).select("line", "seq", *r9("length"))
 
 
-@query("geo_5_merged_points")
+@query("geo_5_merged_points", '+near AS (SELECT a.id, list(b.id ORDER BY b.id) AS before FROM points a JOIN points b ON b.id < a.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 0.05 GROUP BY a.id), ord AS (SELECT id, before, row_number() OVER (ORDER BY id) AS k FROM near), firsts(k, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN len(list_filter(o.before, lambda x: NOT list_contains(f.taken, x))) > 0 THEN list_append(f.taken, o.id) ELSE f.taken END FROM firsts f JOIN ord o ON o.k = f.k + 1), gone AS (SELECT taken FROM firsts ORDER BY k DESC LIMIT 1), into_ AS (SELECT p.id, p.x, p.y, coalesce(list_min(list_filter(n.before, lambda x: NOT list_contains(taken, x))), p.id) AS "into" FROM points p LEFT JOIN near n USING (id), gone) SELECT id, "into", round(avg(x) OVER (PARTITION BY "into"), 9) AS x, round(avg(y) OVER (PARTITION BY "into"), 9) AS y FROM into_', "points", recursive=True)
 def _(s, d):
     return geometry.merge_points(T.points(s, d), 0.05).select("id", "into", *r9("x", "y"))
 
@@ -442,12 +465,27 @@ def _(s, d):
     return geometry.padded_range(T.points(s, d), "x").select(*r9("low", "high"))
 
 
+@query("flw_8_path_losses", f"{FLOW}, {walk('SELECT 3::BIGINT AS node', True).replace('walk', 'trip')}, steps AS (SELECT node AS target, unnest(path) AS edge FROM trip WHERE node < 1000000000) SELECT target, round(sum(greatest((coalesce(f.flow, 0) + 0.5::DOUBLE) * (coalesce(f.flow, 0) + 0.5::DOUBLE) * 0.4247::DOUBLE * length * 0.001::DOUBLE - coalesce(f.flow, 0) * coalesce(f.flow, 0) * 0.4247::DOUBLE * length * 0.001::DOUBLE, 0)), 9) AS loss FROM steps JOIN tree t ON t.id = steps.edge LEFT JOIN flows f ON f.edge = steps.edge GROUP BY target", "sources", "tree", recursive=True)
+def _(s, d):
+    p = traverse.paths(traverse.sssp(T.tree(s, d), one(s, 3)), customers(s, d, 1))
+    return flow.path_losses(p, flows(s, d), T.tree(s, d), 0.5).select("target", *r9("loss"))
+
+
+@query("msc_11_merged_map")
+def _(s, d):
+    points, lines = geometry.merged_map(T.polylines(s, d), 2.0, 0.03)
+    return lines.select("src", "dst", *r9("length"))
+
+
 @query("msc_1_accessors", f"+{LOAD} SELECT (SELECT count(*) FROM points) AS nodes, (SELECT count(*) FROM mesh) AS lines, (SELECT count(*) FROM demand) AS loads", "mesh")
 def _(s, d):
-    n, e, x = (f.agg(F.count("*").alias(c)) for f, c in ((T.points(s, d), "nodes"), (T.mesh(s, d), "lines"), (demand(s, d), "loads")))
-    return n.join(e).join(x)
+    from voltframe.operators import relational
+
+    return relational.sizes(nodes=T.points(s, d), lines=T.mesh(s, d), loads=demand(s, d))
 
 
 @query("msc_9_line_details", "SELECT id, least(src, dst) AS low, greatest(src, dst) AS high, round(length, 9) AS length FROM mesh", "mesh")
 def _(s, d):
-    return T.mesh(s, d).select("id", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), *r9("length"))
+    from voltframe.operators import relational
+
+    return relational.line_details(T.mesh(s, d)).select("id", "low", "high", *r9("length"))

@@ -51,12 +51,13 @@ def _(s, d):
 @query("flt_7_possible", "SELECT o_orderkey FROM orders, (SELECT count(*) AS n FROM customer) WHERE o_custkey <> (o_custkey * 31 + 7) % n")
 def _(s, d):
     n = T.read(s, d, "customer").agg(F.count("*").alias("n"))
-    return T.read(s, d, "orders").join(F.broadcast(n)).where("o_custkey <> (o_custkey * 31 + 7) % n").select("o_orderkey")
+    e = T.read(s, d, "orders").join(F.broadcast(n)).selectExpr("o_orderkey", "o_custkey as src", "(o_custkey * 31 + 7) % n as dst")
+    return relational.possible(e).select("o_orderkey")
 
 
 @query("flt_8_short_lines", "SELECT id FROM mesh WHERE length < 1.5", "mesh")
 def _(s, d):
-    return T.mesh(s, d).where("length < 1.5").select("id")
+    return relational.shorter(T.mesh(s, d), 1.5).select("id")
 
 
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in exprs.FUELS.items())
@@ -105,7 +106,7 @@ def _(s, d):
 
 @query("mth_10_average", "SELECT round(avg(length), 9) AS length FROM mesh", "mesh")
 def _(s, d):
-    return T.mesh(s, d).agg(F.round(F.avg("length"), 9).alias("length"))
+    return relational.average(T.mesh(s, d), "length").select(*r9("length"))
 
 
 @query("mth_11_colours", "SELECT p_partkey, '#' || lower(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0')) AS code, r, g, b FROM (SELECT p_partkey, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS b FROM part)")
@@ -144,18 +145,17 @@ def _(s, d):
 
 @query("str_6_from_name", "SELECT s_suppkey, regexp_extract(s_name, '([0-9]+)$', 1)::BIGINT AS number, substring(s_name, 1, 4) AS head FROM supplier")
 def _(s, d):
-    return T.read(s, d, "supplier").select("s_suppkey", F.regexp_extract("s_name", r"([0-9]+)$", 1).cast("long").alias("number"), F.substring("s_name", 1, 4).alias("head"))
+    return relational.name_parts(T.read(s, d, "supplier").select("s_suppkey", "s_name"), "s_name", 4).select("s_suppkey", "number", "head")
 
 
 @query("arr_1_stacked", "SELECT n_nationkey, n_name AS v FROM nation UNION ALL SELECT n_nationkey, n_regionkey::VARCHAR FROM nation")
 def _(s, d):
-    return T.read(s, d, "nation").selectExpr("n_nationkey", "stack(2, n_name, cast(n_regionkey as string)) as v")
+    return relational.stacked(T.read(s, d, "nation"), "n_nationkey", ["n_name", "n_regionkey"])
 
 
-@query("gen_1_placed_nodes", "SELECT i AS id, round(((i * 7919) % 10007) / 10007.0::DOUBLE, 9) AS x, round(((i * 104729) % 10009) / 10009.0::DOUBLE, 9) AS y, 10 AS load FROM range(500) t(i)")
+@query("gen_1_placed_nodes", "SELECT c_custkey AS id, round(((c_custkey * 7919) % 10007) / 10007.0::DOUBLE, 9) AS x, round(((c_custkey * 104729) % 10009) / 10009.0::DOUBLE, 9) AS y, 10 AS load FROM customer")
 def _(s, d):
-    i = F.col("id")
-    return s.range(500).select("id", F.round((i * 7919 % 10007) / 10007.0, 9).alias("x"), F.round((i * 104729 % 10009) / 10009.0, 9).alias("y"), F.lit(10).alias("load"))
+    return relational.placed_nodes(T.read(s, d, "customer").select(F.col("c_custkey").alias("id"))).select("id", *r9("x", "y"), "load")
 
 
 @query("jon_1_located_loads", f"SELECT l.id, name, {SHOWN} FROM loads l JOIN points p ON p.id = point_id WHERE {IN_BOX}", "points", "loads")
@@ -231,19 +231,19 @@ def _(s, d):
 
 @query("jon_12_named_weights", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON substring(c_name, 10) = substring(s_name, 10)")
 def _(s, d):
-    c = T.read(s, d, "customer").select("c_custkey", F.substring("c_name", 10, 100).alias("k"))
-    return c.join(T.read(s, d, "supplier").select("s_suppkey", F.substring("s_name", 10, 100).alias("k")), "k").select("c_custkey", "s_suppkey")
+    c, p = T.read(s, d, "customer").select("c_custkey", "c_name"), T.read(s, d, "supplier").select("s_suppkey", "s_name")
+    return relational.same_ending(c, "c_name", p, "s_name", 10).select("c_custkey", "s_suppkey")
 
 
 @query("jon_14_lookup", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
 def _(s, d):
-    n = T.read(s, d, "nation").join(T.read(s, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return T.read(s, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", "n_name", "r_name")
+    of = lambda name: T.read(s, d, name)
+    return relational.looked_up(of("customer"), (of("nation"), "n_nationkey", "c_nationkey"), (of("region"), "r_regionkey", "n_regionkey")).select("c_custkey", "n_name", "r_name")
 
 
 @query("jon_15_missing_codes", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9800)")
 def _(s, d):
-    return T.read(s, d, "nation").join(T.read(s, d, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti").select("n_nationkey")
+    return relational.missing_codes(T.read(s, d, "nation"), "n_nationkey", T.read(s, d, "customer").where("c_acctbal > 9800"), "c_nationkey").select("n_nationkey")
 
 
 @query("jon_16_common_nodes", "SELECT node FROM (SELECT src AS node FROM mesh UNION SELECT dst FROM mesh) INTERSECT SELECT src FROM mesh WHERE id >= 2000000000", "mesh")
@@ -295,7 +295,7 @@ def _(s, d):
 
 @query("agg_8_total_length", "SELECT round(sum(length), 4) AS length FROM mesh", "mesh")
 def _(s, d):
-    return T.mesh(s, d).agg(F.round(F.sum("length"), 4).alias("length"))
+    return relational.total_length(T.mesh(s, d)).select(F.round("length", 4).alias("length"))
 
 
 @query("agg_9_randic", "+deg AS (SELECT node, count(*) AS k FROM (SELECT src AS node FROM mesh UNION ALL SELECT dst FROM mesh) GROUP BY node) SELECT round(sum(1 / sqrt(a.k * b.k)), 9) AS randic FROM mesh JOIN deg a ON a.node = src JOIN deg b ON b.node = dst", "mesh")
@@ -344,15 +344,12 @@ def _(s, d):
 
 @query("agg_23_request_size", "SELECT (SELECT count(*) FROM supplier) * 4 * 2 * 8760 AS cells")
 def _(s, d):
-    return T.read(s, d, "supplier").agg((F.count("*") * 4 * 2 * 8760).alias("cells"))
+    return relational.request_size(T.read(s, d, "supplier"), 4, 2)
 
 
 @query("srt_1_by_length", "SELECT id, row_number() OVER (ORDER BY length, id) AS place FROM mesh", "mesh")
 def _(s, d):
-    from voltframe.operators.components import numbered
-
-    places = numbered(T.mesh(s, d).select("id", "length"), ["length", "id"], "place")
-    return places.select("id", (F.col("place") + 1).cast("long").alias("place"))
+    return relational.by_length(T.mesh(s, d))
 
 
 @query("srt_2_decile_slice", f"{FLOW}, r AS (SELECT edge, dense_rank() OVER (ORDER BY round(flow, 9)) - 1 AS k FROM flows) SELECT edge FROM r, (SELECT count(DISTINCT k) AS g FROM r) WHERE k BETWEEN 5 * g // 10 AND 8 * g // 10", "sources", "tree", recursive=True)
@@ -371,7 +368,7 @@ def _(s, d):
 
 @query("srt_5_extremes", "SELECT min_by(id, (length, id)) AS shortest, max_by(id, (length, -id)) AS longest FROM mesh", "mesh")
 def _(s, d):
-    return T.mesh(s, d).agg(F.min_by("id", F.struct("length", "id")).alias("shortest"), F.max_by("id", F.struct("length", -F.col("id"))).alias("longest"))
+    return relational.extremes(T.mesh(s, d))
 
 
 @query("srt_6_two_farthest", f"+{GENS}, {ADJ}, {walk('SELECT node FROM gens')} SELECT root, node, round(dist, 9) AS dist, place FROM (SELECT root, node, dist, row_number() OVER (PARTITION BY root ORDER BY dist DESC, node) AS place FROM walk) WHERE place <= 2", "sources", "tree", recursive=True)

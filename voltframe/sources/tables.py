@@ -79,12 +79,15 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line, seq, x, y): the orders of a customer by date, with a rounded place for each."""
+    """(line, seq, x, y): the orders of a customer by date, with a place for each: of every fifth order one of 221, so that lines meet there."""
     o = read(spark, sf_dir, "orders")
     from pyspark.sql import Window
 
+    k, shared = F.col("o_orderkey"), F.col("o_orderkey") % 5 == 0
     seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
-    return o.select(F.col("o_custkey").alias("line"), seq.cast("long").alias("seq"), ((F.col("o_orderkey") * 37 % 61) / F.lit(10.0)).alias("x"), ((F.col("o_orderkey") * 53 % 67) / F.lit(10.0)).alias("y"))
+    x = F.when(shared, (k * 37 % 13) / F.lit(2.0)).otherwise((k * 7919 % 9973) / F.lit(1000.0))
+    y = F.when(shared, (k * 53 % 17) / F.lit(2.0)).otherwise((k * 6271 % 9967) / F.lit(1000.0))
+    return o.select(F.col("o_custkey").alias("line"), seq.cast("long").alias("seq"), x.alias("x"), y.alias("y"))
 
 
 #: The same tables in SQL, as common table expressions.
@@ -96,7 +99,7 @@ SQL = {
     "mesh": "mesh AS (SELECT * FROM tree UNION ALL SELECT e.id, src, dst, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), (src % 3 + 1) * 115.0::DOUBLE FROM (SELECT o_orderkey + 2000000000 AS id, o_custkey AS src, (o_custkey * 31 + 7) % n AS dst FROM orders, (SELECT count(*) AS n FROM customer) WHERE o_orderpriority = '1-URGENT') e JOIN points p ON p.id = src JOIN points q ON q.id = dst WHERE src <> dst)",
     "islands": "islands AS (SELECT * FROM tree WHERE NOT (src < 1000000000 AND src % 97 = 0))",
     "prices": "prices AS (SELECT user_id AS node, ts, value AS lmp FROM events)",
-    "polylines": "polylines AS (SELECT o_custkey AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq, (o_orderkey * 37 % 61) / 10.0::DOUBLE AS x, (o_orderkey * 53 % 67) / 10.0::DOUBLE AS y FROM orders)",
+    "polylines": "polylines AS (SELECT o_custkey AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey * 37 % 13) / 2.0::DOUBLE ELSE (o_orderkey * 7919 % 9973) / 1000.0::DOUBLE END AS x, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey * 53 % 17) / 2.0::DOUBLE ELSE (o_orderkey * 6271 % 9967) / 1000.0::DOUBLE END AS y FROM orders)",
 }
 _NEEDS = {"tree": ["points"], "mesh": ["points", "tree"], "islands": ["points", "tree"]}
 
