@@ -81,3 +81,43 @@ def test_repeated_lines_count_once(spark):
     text, line = " ".join(f"w{i}" for i in range(300)), " ".join(f"r{i}" for i in range(12))
     rows = [(1, text + " " + line), (2, text + " " + " ".join([line] * 10))]
     assert kept(spark, rows) == brute(rows) == {1}
+
+
+
+
+def test_table_matches_brute_force_with_all_and_no_crowds(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute(rows)
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect() if r.keep} == want and len(want) < len(rows)
+    monkeypatch.setattr(simhash, "CROWD", 0)  # every candidate of another group goes to the prefixes
+    monkeypatch.setattr(simhash, "HOT_ROWS", 1)  # and so does every bucket of two
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect() if r.keep} == want
+
+
+def test_geometry_misses_few_pairs():
+    for n in (0, 10_000, 10**7, 10**10):
+        g = simhash.geometry(n)
+        p = np.arccos(1.6 / 1.8) / np.pi
+        meets = (1 - p) ** g.bits * (1 + g.bits * p / (1 - p))
+        assert (1 - meets) ** g.segments <= simhash.MISS and g.width * 64 >= 64 * simhash.CHECK + g.bits * g.segments
+        assert n / 2**g.bits <= simhash.ROWS
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (400, 900)).astype(np.uint64)
+    other = base.copy()
+    other[:, 800:] = rng.integers(0, 2**63, (400, 100)).astype(np.uint64)  # 800 of 1000 shared: 0.8
+    g = simhash.geometry(0)
+    x, y = (simhash.set_fingerprints(list(s), g.width) for s in (base, other))
+    d = np.bitwise_count(x ^ y)
+    assert (d[:, : simhash.CHECK].sum(1) <= g.check).mean() > 0.99 and (d.sum(1) <= g.full).mean() > 0.99
+    near = np.zeros(400, dtype=bool)
+    for s in range(g.segments):
+        near |= np.bitwise_count(simhash.segment(x, s, g.bits) ^ simhash.segment(y, s, g.bits)) <= 1
+    assert near.mean() > 0.99
+
+
+def test_nulls_ties_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, " \n", 3), (None, "a b c d e f", 4), (None, None, 5), (5, "a b c d e f", 6), (5, "a b c d e f", 7), (9, "A B C D E F", 8)], "doc_id long, text string, key int")
+    got = sorted((r.doc_id, r.keep) for r in simhash.near_duplicates(df).collect())
+    assert got == [(1, True), (2, False), (3, False), (5, True), (9, False)]
+    assert simhash.near_duplicates(df.where("false")).collect() == []

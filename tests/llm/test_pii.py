@@ -48,3 +48,10 @@ def test_query_and_operator(spark):
     got = pii.find_pii(df).collect()
     assert [(r.doc_id, r.redacted, len(r.pii)) for r in got] == [(1, "[EMAIL]", 1), (None, None, 0), (1, "[EMAIL]", 1)]
     assert pii.find_pii(df.where("false")).collect() == []
+
+
+def test_digests_of_odd_rows_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "a@b.co", 1), (1, "a@b.co", 1), (None, None, 2), (2, "", 3), (3, "x " * 300_000 + "1.2.3.4", 4)], "doc_id long, text string, n_ip int")
+    got = sorted((r.doc_id or 0, r.n_email, r.n_ip, r.spans) for r in pii.pii_digests(df).collect())
+    assert got == [(0, 0, 0, ""), (1, 1, 0, "email:0:6"), (1, 1, 0, "email:0:6"), (2, 0, 0, ""), (3, 0, 1, "ip:600000:600007")]
+    assert pii.pii_digests(df.where("false")).collect() == []

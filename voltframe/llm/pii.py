@@ -164,7 +164,11 @@ def _said(spans: list[tuple[int, int, str]]) -> str:
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of whole texts."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of whole texts, one row for each row of docs (doc_id, text).
+
+    Null and empty texts have no spans: counts of 0, the digest of nothing, an empty string. Repeated rows and rows that
+    share a doc_id or have none are each answered; an empty table gives no rows; further columns are not looked at.
+    """
     for_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,4 +183,5 @@ def pii_digests(docs: DataFrame) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pii_digests() of all documents; nulls, ties and empty tables as there."""
     return pii_digests(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -267,6 +267,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_groups() of all documents; nulls, ties, repeated rows and empty tables as there."""
     return simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
