@@ -48,7 +48,7 @@ def _(s, d):
 
 @query("ts_4_component", "SELECT event_id FROM events WHERE event_type = 'click'")
 def _(s, d):
-    return timeseries.of_component(T.read(s, d, "events"), "event_type", "click").select("event_id")
+    return ts.of_component(T.read(s, d, "events"), "event_type", "click").select("event_id")
 
 
 @query("ts_5_local", "SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS ts FROM events")
@@ -119,7 +119,7 @@ def _(s, d):
 @query("ts_17_union_distinct", "SELECT n_regionkey AS k FROM nation UNION SELECT s_nationkey FROM supplier")
 def _(s, d):
     a, b = T.read(s, d, "nation").select(F.col("n_regionkey").alias("k")), T.read(s, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return timeseries.distinct_union(a, b)
+    return ts.distinct_union(a, b)
 
 
 @query("ts_18_batches", "SELECT c_custkey AS id, (row_number() OVER (ORDER BY c_custkey) - 1) // 1000 AS batch FROM customer")
