@@ -76,3 +76,21 @@ def test_stream_of_prices(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.sql("SELECT node, points, mean FROM bins").collect()
     assert (1, 2, 3.0) in [tuple(r) for r in got]
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rows = '<row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>2.5</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>in</t></is></c></row><row r="4"><c r="A4"><v>9</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>head</t></si><si><r><t>no</t></r><r><t>de</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>")
+    got = files.xlsx_rows(spark, str(tmp_path / "*.xlsx"), skip=1, foot=1).orderBy("row").collect()
+    assert [tuple(r) for r in got] == [("w.xlsx", 2, ["node", None, "2.5"]), ("w.xlsx", 3, [None, "in"])]
+
+
+def test_copies_leave_out_what_is_there(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    moves = spark.createDataFrame([(str(tmp_path / "a"), str(tmp_path / "d" / "b"))], "path string, target string")
+    assert files.copied(spark, moves) == 1 and files.copied(spark, moves) == 0 and (tmp_path / "d" / "b").read_text() == "x"

@@ -62,3 +62,17 @@ def restricted(points: DataFrame, edges: DataFrame, flows: DataFrame, box: tuple
     p = points_strictly_within(points, box)
     e = induced(edges, p.select(F.col("id").alias("node")))
     return p, e, flows.join(e.select(F.col("id").alias("edge")), "edge", "left_semi")
+
+
+def plot_script(segments: DataFrame, points: DataFrame | None = None, title: str = "grid") -> DataFrame:
+    """(place, line): a plotting script of segments (edge, x1, y1, x2, y2, colour), and of points (id, x, y) as small circles.
+
+    Lines come in order of their ids after the head, circles in order of theirs after them.
+    """
+    spark = segments.sparkSession
+    head = spark.createDataFrame([(0, 0, f'set title "{title}"'), (0, 1, "unset key")], "part int, n long, line string")
+    arrow = F.format_string('set arrow from %.4f,%.4f to %.4f,%.4f nohead lc rgb "%s"', "x1", "y1", "x2", "y2", "colour")
+    out = head.unionAll(segments.select(F.lit(1), F.col("edge"), arrow))
+    if points is not None:
+        out = out.unionAll(points.select(F.lit(2), F.col("id"), F.format_string("set object circle at %.4f,%.4f size 0.02", "x", "y")))
+    return out.select(F.struct("part", "n").alias("place"), "line")

@@ -471,6 +471,20 @@ def _(s, d):
     return flow.path_losses(p, flows(s, d), T.tree(s, d), 0.5).select("target", *r9("loss"))
 
 
+@query("snk_5_plot_script", "SELECT 1 AS part, t.id AS n, printf('set arrow from %.4f,%.4f to %.4f,%.4f nohead lc rgb \"%s\"', a.x, a.y, b.x, b.y, 'navy') AS line FROM tree t JOIN points a ON a.id = src JOIN points b ON b.id = dst UNION ALL SELECT 2, id, printf('set object circle at %.4f,%.4f size 0.02', x, y) FROM points UNION ALL SELECT 0, 0, 'set title \"tree\"' UNION ALL SELECT 0, 1, 'unset key'", "tree")
+def _(s, d):
+    from voltframe.operators.relational import with_ends
+
+    e = with_ends(T.tree(s, d), T.points(s, d)).select(F.col("id").alias("edge"), "x1", "y1", "x2", "y2", F.lit("navy").alias("colour"))
+    return report.plot_script(e, T.points(s, d), "tree").select("place.part", "place.n", "line")
+
+
+@query("snk_6_report", f"{FLOW}, x AS (SELECT (SELECT count(*) FROM tree) AS lines, (SELECT sum(length) FROM tree) AS length, (SELECT sum(load) FROM demand) AS load, (SELECT sum(loss) FROM flows) AS loss, (SELECT sum(power) FROM gens) AS power) SELECT 0 AS place, printf('%d lines of %.2f in all', lines, length) AS line FROM x UNION ALL SELECT 1, printf('load %.2f, loss %.2f (%.2f %%)', load, loss, round(100 * loss / (load + loss), 2)) FROM x UNION ALL SELECT 2, printf('power %.2f of %d generators', power, (SELECT count(*) FROM gens)) FROM x", "sources", "tree", recursive=True)
+def _(s, d):
+    known = flow.summary(flows(s, d), demand(s, d), generators(s, d))
+    return report.info_lines(known, T.tree(s, d)).where("place < 3").select("place", "line")
+
+
 @query("msc_11_merged_map")
 def _(s, d):
     points, lines = geometry.merged_map(T.polylines(s, d), 2.0, 0.03)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -117,6 +118,60 @@ def kml_places(spark: SparkSession, path: str) -> DataFrame:
     return r.select(F.upper(F.trim("name")).alias("name"), mean(0).alias("lon"), mean(1).alias("lat"), F.upper(F.trim(F.regexp_extract("description", r"Zone:?\s*(?:<[^>]*>\s*)*([A-Za-z_ ]+)", 1))).alias("zone"))
 
 
+def xlsx_rows(spark: SparkSession, path: str, sheet: int = 1, skip: int = 0, foot: int = 0) -> DataFrame:
+    """(file, row, cells) of a sheet (counted from 1) of .xlsx workbooks: cells as text, null where there is none.
+
+    The first rows (skip) and the last ones (foot) that the sheet has are left out. A workbook has to fit in a row.
+    """
+
+    def rows_of(content: bytes) -> list[tuple[int, list[str | None]]]:
+        import io
+        import zipfile
+        from xml.etree import ElementTree
+
+        space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            shared = []
+            if "xl/sharedStrings.xml" in z.namelist():
+                shared = ["".join(t.text or "" for t in x.iter(f"{space}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")]
+            root = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml"))
+        out = []
+        for n, row in enumerate(root.iter(f"{space}row")):
+            cells: list[str | None] = []
+            for c in row.iter(f"{space}c"):
+                letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                at = 0
+                for x in letters:
+                    at = at * 26 + ord(x) - 64
+                cells += [None] * (max(at, len(cells) + 1) - len(cells))
+                value = c.find(f"{space}v")
+                text = "".join(t.text or "" for t in c.iter(f"{space}t")) if c.get("t") == "inlineStr" else value.text if value is not None else None
+                cells[-1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+            out.append((int(row.get("r", n + 1)), cells))
+        return out[skip : len(out) - foot]
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [(re.sub(r".*/", "", p), n, cells) for p, content in zip(b["path"], b["content"], strict=True) for n, cells in rows_of(content)]
+            yield pd.DataFrame(found, columns=["file", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, cells array<string>")
+
+
+def copied(spark: SparkSession, moves: DataFrame) -> int:
+    """Copies files (path, target), making folders as needed, and leaves out those whose target is there; how many it copied."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    done = 0
+    for r in moves.select("path", "target").toLocalIterator():
+        a, b = hadoop.Path(r.path), hadoop.Path(r.target)
+        if not b.getFileSystem(conf).exists(b):
+            b.getFileSystem(conf).mkdirs(b.getParent())
+            done += bool(hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf))
+    return done
+
+
 def weights(spark: SparkSession, path: str) -> DataFrame:
     """(name, mw) of a quoted CSV without header."""
     return spark.read.csv(path, schema="name string, mw double", quote='"')
@@ -137,7 +192,6 @@ def record_typed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if not heads:
         raise ValueError("no header line")
     import csv
-    import re
 
     cols = [re.sub(r"[^a-z0-9]+", "_", c.lower()).strip("_") or f"c{i}" for i, c in enumerate(next(csv.reader([heads[0].value])))]
     data = lines.where(F.col("value").startswith('"D"'))
