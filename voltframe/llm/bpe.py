@@ -155,22 +155,23 @@ class Bpe:
                 heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
         return [s for s, x in zip(symbols, gone, strict=True) if not x]
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        """Ids of words as the pattern cuts them."""
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of words as the pattern cuts them, as bytes."""
         by_size: dict[int, list[tuple[str, bytes]]] = defaultdict(list)
         for p in set(pieces):
             raw = p.encode()
             by_size[len(raw)].append((p, raw))
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         for size, own in by_size.items():
             raw = np.frombuffer(b"".join([x[1] for x in own]), dtype=np.uint8).reshape(-1, size)
             s = np.concatenate([self.first[raw[:, :-1]], self.last[raw[:, -1:]]], axis=1)
             if size > SHORT:
-                out |= {p: self.merge_long(row) for (p, _), row in zip(own, s.tolist(), strict=True)}
+                out |= {p: array("I", self.merge_long(row)).tobytes() for (p, _), row in zip(own, s.tolist(), strict=True)}
                 continue
             s = self.merge(s)
-            for (p, _), row, n in zip(own, s.tolist(), (s >= 0).sum(1).tolist(), strict=True):
-                out[p] = row[:n]
+            flat, ends = s.tobytes(), (4 * size * np.arange(len(own)) + 4 * (s >= 0).sum(1)).tolist()
+            for k, ((p, _), end) in enumerate(zip(own, ends, strict=True)):
+                out[p] = flat[4 * size * k : end]
         return out
 
     def learn(self, chunks: set[str]) -> None:
@@ -192,8 +193,7 @@ class Bpe:
             cut.append((c, [text] if text.isalpha() else [text[:-1], text[-1]] if text[-1:] in _STOPS and text[:-1].isalpha() else _PIECE.findall(text)))
         ids = self.encode_pieces([p for _, x in cut for p in x])
         for c, x in cut:
-            own = ids[x[0]] if len(x) == 1 else [i for p in x for i in ids[p]]
-            self.known[c] = array("I", own).tobytes()
+            self.known[c] = ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes. A null text has none."""
