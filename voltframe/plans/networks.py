@@ -318,22 +318,23 @@ def _(s, d):
 
 
 def candidates(s, d):
-    return T.mesh(s, d).where("id >= 2000000000 and length < 3.0").orderBy("id").limit(5)
+    """Tie lines, one for each pair of nodes; those shorter than the ceiling are tried."""
+    return graph.simple_pairs(T.mesh(s, d).where("id >= 2000000000"))
 
 
-_CAND = "cand AS (SELECT id FROM mesh WHERE id >= 2000000000 AND length < 3.0 ORDER BY id LIMIT 5)"
+_CAND = "cand AS (SELECT min(id) AS id FROM mesh WHERE id >= 2000000000 AND src <> dst GROUP BY least(src, dst), greatest(src, dst) HAVING min(length) < 0.7)"
 
 
 @query("cng_5_trials", f"+{_CAND} SELECT id::VARCHAR AS items FROM cand UNION ALL SELECT a.id::VARCHAR || ',' || b.id FROM cand a JOIN cand b ON a.id < b.id", "mesh")
 def _(s, d):
-    t = congestion.trials(candidates(s, d), 2, 3.0)
+    t = congestion.trials(candidates(s, d), 2, 0.7)
     return t.select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items")).distinct()
 
 
 @query("cng_5_6_7_trial_losses")
 def _(s, d):
     c = candidates(s, d)
-    return congestion.trial_losses(T.tree(s, d), c, congestion.trials(c, 2, 3.0), demand(s, d), generators(s, d)).select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "loss_percent", *r9("length"))
+    return congestion.trial_losses(T.tree(s, d), c, congestion.trials(c, 2, 0.7), demand(s, d), generators(s, d)).select(F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "loss_percent", *r9("length"))
 
 
 @query("cng_8_corridors", f"+{ADJ}, walk AS (SELECT 99::BIGINT AS node, NULL::BIGINT AS parent, [99]::BIGINT[] AS nodes UNION ALL SELECT a.other, w.node, list_append(w.nodes, a.other) FROM walk w JOIN adj a ON a.node = w.node WHERE w.parent IS NULL OR a.other <> w.parent), p AS (SELECT node AS target, nodes, list_position(nodes, 0::BIGINT) AS hub, len(nodes) AS n, 2 * (len(nodes) // 6) AS step FROM walk WHERE node < 1000000000 AND len(nodes) > 8 AND list_contains(nodes, 0::BIGINT)) SELECT DISTINCT 99::BIGINT AS root, target, nodes[greatest(hub - step, 1)] AS first, nodes[least(hub + step, n)] AS last FROM p", "tree", recursive=True)
