@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from voltframe.operators import cluster, relational
+from voltframe.functions import sessions
+from voltframe.operators import cluster, flow, geometry, relational, traverse
 
 
 def test_nearest_centroid_by_squares(spark):
@@ -40,3 +41,49 @@ def test_nearest_in_groups_with_sizes_of_their_own(spark):
     got = relational.nearest(spark.createDataFrame(q, "g long, qid long, x double, y double"), spark.createDataFrame(p, "g long, pid long, x double, y double"), by=["g"]).collect()
     want = {(g, k): min(((a - x) ** 2 + (b - y) ** 2, i) for h, i, a, b in p if h == g)[1] for g, k, x, y in q if g < 4}
     assert {(r.g, r.qid): r.pid for r in got} == want
+
+
+def test_stripped_graphs_give_the_rows_of_the_local_kernel(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, k, (k - 1) // 2, float(rng.integers(1, 5))) for k in range(1, 150)]
+    rows += [(1000 + k, int(a), int(b), float(rng.integers(1, 9))) for k, (a, b) in enumerate(rng.integers(0, 20, (8, 2)))] + [(2000, 500, 501, 1.0)]
+    e = spark.createDataFrame(rows, "id long, src long, dst long, length double")
+    r = spark.createDataFrame([(x,) for x in (0, 120, 33, 500, 999)], "node long")
+    shape = traverse.Stripped(e, 0)
+    assert len(shape.levels) > 3 and shape.core.count() < 20
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert same(traverse.sssp(e, r, True), traverse.sssp(e, r, shape=shape))
+    assert same(traverse.nearest_root(e, r, True), traverse.nearest_root(e, r, shape=shape))
+
+
+def test_large_graphs_do_not_come_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("rows collected"))
+    assert sessions.bounded(spark.range(11), 10) is None
+
+
+def test_losses_summed_up_along_a_tree_are_those_of_its_paths(spark):
+    rows = [(k, k, (k - 1) // 2, 1.0 + k % 5) for k in range(1, 40)] + [(100 + k, 40 + k, 39 + k, 2.0) for k in range(9)]
+    e = spark.createDataFrame(rows, "id long, src long, dst long, length double")
+    f = spark.createDataFrame([(k, k / 7.0) for k in range(1, 30)], "edge long, flow double")
+    t, to = traverse.sssp(e, spark.createDataFrame([(3,)], "node long")), spark.range(0, 49, 2).toDF("node")
+    want = {r.target: r.loss for r in flow.path_losses(traverse.paths(t, to), f, e, 0.5).collect()}
+    assert {r.target: r.loss for r in flow.tree_losses(t, to, f, e, 0.5).collect()} == pytest.approx(want)
+
+
+def test_dense_points_merge_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "IN_TILE", 40)
+    rng = np.random.default_rng(9)
+    xy = np.round(rng.random((600, 2)), 2)  # some at one place, all hang together
+    order = rng.permutation(600)
+    into: dict[int, int] = {}
+    for i in range(600):
+        if i not in into:
+            d = np.sqrt(((xy - xy[i]) ** 2).sum(1))
+            into |= {j: i for j in range(i, 600) if j not in into and (j == i or d[j] < 0.12)}
+    p = spark.createDataFrame([(int(i), float(xy[i, 0]), float(xy[i, 1])) for i in order] + [(900, None, None)], "id long, x double, y double")
+    got = {r.id: r for r in geometry.merge_points(p, 0.12).collect()}
+    assert got.pop(900).into == 900 and {i: r.into for i, r in got.items()} == into
+    first = [i for i in into if into[i] == 0]
+    assert got[0].x == pytest.approx(xy[first, 0].mean())
