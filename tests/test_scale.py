@@ -87,3 +87,15 @@ def test_dense_points_merge_in_tiles(spark, monkeypatch):
     assert got.pop(900).into == 900 and {i: r.into for i, r in got.items()} == into
     first = [i for i in into if into[i] == 0]
     assert got[0].x == pytest.approx(xy[first, 0].mean())
+
+
+def test_lines_are_smoothed_in_batches(spark):
+    rows = [(line, seq, float(seq), float((seq * (3 + line)) % 5) * (line % 2)) for line in range(40) for seq in range(12)][::-1]
+    df = spark.createDataFrame([(*r, r[1] == 5) for r in rows], "line long, seq long, x double, y double, fixed boolean")
+    got = geometry.smooth(df, 0.5)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    want = set()
+    for line in range(40):
+        v = sorted(r for r in rows if r[0] == line)
+        want |= {v[k] for k in geometry.simplified_places([r[2] for r in v], [r[3] for r in v], 0.5, [r[1] == 5 for r in v])}
+    assert {tuple(r) for r in got.collect()} == want and len(want) < len(rows)

@@ -39,14 +39,25 @@ def smooth(lines: DataFrame, eps: float = 2e-4) -> DataFrame:
 
     A line is handled in one place, so it has to fit there. A closed line's chord is a point: distances are then to it.
     """
-    fixed = "fixed" in lines.columns
+    fixed = F.col("fixed") if "fixed" in lines.columns else F.lit(False)
+    v = lines.select(F.col("line").cast("long"), F.struct(F.col("seq").cast("long").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), fixed.alias("fixed")).alias("v"))
+    v = v.groupBy("line").agg(F.sort_array(F.collect_list("v")).alias("v")).select("line", *[F.col(f"v.{c}").alias(c) for c in ("seq", "x", "y", "fixed")])
 
-    def run(g):
-        g = g.sort_values("seq")
-        at = simplified_places(g.x.tolist(), g.y.tolist(), eps, g.fixed.tolist() if fixed else [False] * len(g))
-        return g.iloc[at][["line", "seq", "x", "y"]]
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("line", "seq", "x", "y")}
+            for line, seq, xs, ys, stays in zip(b.line.tolist(), b.seq, b.x, b.y, b.fixed, strict=True):
+                x, y = xs.tolist(), ys.tolist()
+                at = simplified_places(x, y, eps, stays.tolist())
+                out["line"] += [line] * len(at)
+                for c, of in (("seq", seq), ("x", x), ("y", y)):
+                    out[c] += [of[k] for k in at]
+            yield pd.DataFrame(out)
 
-    return lines.groupBy("line").applyInPandas(run, "line long, seq long, x double, y double")
+    # a row a line, and thousands of lines a batch: a group of its own for each line takes longer than its vertices
+    return v.mapInPandas(run, "line long, seq long, x double, y double")
 
 
 def junctions(lines: DataFrame) -> DataFrame:
@@ -86,37 +97,79 @@ def line_colours(lines: DataFrame) -> DataFrame:
     return components(e, lines.select(F.col("line").alias("node")).distinct()).select(F.col("node").alias("line"), F.col("component").alias("colour"))
 
 
+#: Points of one tile of merge_points() where they lie evenly.
+IN_TILE = 5000
+
+
+def _group_heads(places: DataFrame, distance: float, rounds: int = 1000) -> DataFrame:
+    """(id, x, y) of the points that no earlier head lies near, in order of ids (id, x, y), all at different places.
+
+    Tiles are handled side by side, each with the points just outside of it: a point is a head if no earlier point near it
+    can be one, and it is taken if an earlier head lies near. What hangs on points outside of its tile waits for the next
+    round, whose tiles lie elsewhere. The first point left is settled in each round, and nearly all are in the first.
+    """
+    from voltframe.functions.sessions import cut
+    from voltframe.operators.relational import IN_CELL, _cell_sizes
+
+    cell = distance * (1 + 1e-9)
+    wide = _cell_sizes(places, []).first()
+    side = max(8 * cell, (wide["size"] if wide else 1.0) * (IN_TILE / IN_CELL) ** 0.5)
+
+    def run(g):
+        import pandas as pd
+
+        heads: dict[tuple, list] = {}
+        open_: dict[tuple, list] = {}
+        out = []
+        g = g.sort_values("id")
+        for i, x, y, kind in zip(g.id.tolist(), g.x.tolist(), g.y.tolist(), g.kind.tolist(), strict=True):
+            a, b = int(x // cell), int(y // cell)
+            around = [(p, q) for p in (a - 1, a, a + 1) for q in (b - 1, b, b + 1)]
+            near = lambda of: any(((x - u) * (x - u) + (y - v) * (y - v)) ** 0.5 < distance for k in around if k in of for u, v in of[k])  # noqa: B023, E731
+            if kind == 2 or not near(heads):
+                head = kind == 2 or (kind == 0 and not near(open_))
+                (heads if head else open_).setdefault((a, b), []).append((x, y))
+                if kind == 0:
+                    out.append((i, x, y, head))
+        return pd.DataFrame(out, columns=["id", "x", "y", "head"])
+
+    left, heads = cut(places.select("id", "x", "y")), places.select("id", "x", "y").where("false")
+    for n in range(rounds):
+        off = side * (n % 3) / 3
+        at = lambda c, by: F.floor((F.col(c) + off + by) / side).cast("long")  # noqa: B023, E731
+        every = left.withColumn("kind", F.lit(0)).unionAll(heads.withColumn("kind", F.lit(2)))
+        tiles = every.withColumn("tx", F.explode(F.array_distinct(F.array(at("x", -cell), at("x", 0.0), at("x", cell))))).withColumn("ty", F.explode(F.array_distinct(F.array(at("y", -cell), at("y", 0.0), at("y", cell)))))
+        outside = (F.col("tx") != at("x", 0.0)) | (F.col("ty") != at("y", 0.0))
+        dealt = tiles.withColumn("kind", F.when(outside & (F.col("kind") == 0), 1).otherwise(F.col("kind")))
+        found = cut(dealt.groupBy("tx", "ty").applyInPandas(run, "id long, x double, y double, head boolean"))
+        heads, left = heads.unionAll(found.where("head").drop("head")), found.where("not head").drop("head")
+        if left.isEmpty():
+            return heads
+    raise RuntimeError("points did not settle")
+
+
 def merge_points(points: DataFrame, distance: float) -> DataFrame:
     """(id, into, x, y): each point (id, x, y) with the group it merges into and the group's centroid.
 
-    The greedy rule: in order of ids, a point not taken yet takes all later ones nearer than distance. What it does
-    depends on chains of near points only, so these (components) are handled each in one place.
+    The greedy rule: in order of ids, a point not taken yet takes all later ones nearer than distance. So the points that
+    take others are no nearer to each other than that, few lie near any point, and all others go to the first of these.
     """
-    size = max(distance, 1e-9)
+    from voltframe.functions.sessions import cut
+
+    own = points.select(F.col("id").cast("long").alias("id"), "x", "y")
+    if distance <= 0:
+        return own.select("id", F.col("id").alias("into"), "x", "y")
+    placed = own.where("x is not null and y is not null")
+    heads = cut(_group_heads(cut(placed.groupBy("x", "y").agg(F.min("id").alias("id"))), distance))
+    size = distance * (1 + 1e-9)
     cell = lambda c: F.floor(F.col(c) / size).cast("long")
-    p = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.explode(F.expr("flatten(transform(sequence(-1l, 1l), a -> transform(sequence(-1l, 1l), b -> struct(a as a, b as b))))"))
-    q = p.withColumn("o", around).select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
-    near = q.join(p, ["cx", "cy"]).where((F.col("i") < F.col("id")) & (exprs.distance(F.col("x1"), F.col("y1"), F.col("x"), F.col("y")) < distance))
-    e = near.select(F.col("i").alias("src"), F.col("id").alias("dst"), F.col("id"), F.lit(0.0).alias("length"))
-    comp = components(e, points.select(F.col("id").alias("node")))
-
-    def run(g):
-        g = g.sort_values("id").reset_index(drop=True)
-        x, y, into = g.x.to_numpy(), g.y.to_numpy(), [-1] * len(g)
-        for i in range(len(g)):
-            if into[i] < 0:
-                d = ((x - x[i]) ** 2 + (y - y[i]) ** 2) ** 0.5
-                for j in range(i, len(g)):
-                    if into[j] < 0 and (j == i or d[j] < distance):
-                        into[j] = int(g.id[i])
-        g["into"] = into
-        c = g.groupby("into")[["x", "y"]].transform("mean")
-        g["x"], g["y"] = c.x, c.y
-        return g[["id", "into", "x", "y"]]
-
-    both = points.join(comp.select(F.col("node").alias("id"), "component"), "id")
-    return both.groupBy("component").applyInPandas(run, "id long, into long, x double, y double")
+    h = heads.withColumn("o", around).select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), (cell("x") + F.col("o.a")).alias("cx"), (cell("y") + F.col("o.b")).alias("cy"))
+    near = placed.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(h, ["cx", "cy"]).where((F.col("i") <= F.col("id")) & (exprs.distance(F.col("x1"), F.col("y1"), F.col("x"), F.col("y")) < distance))
+    into = cut(near.groupBy("id").agg(F.min("i").alias("into"), F.first("x").alias("x"), F.first("y").alias("y")))
+    mean = into.groupBy("into").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    alone = own.where("x is null or y is null").select("id", F.col("id").alias("into"), "x", "y")
+    return into.select("id", "into").join(mean, "into").select("id", "into", "x", "y").unionAll(alone)
 
 
 def merged_map(lines: DataFrame, eps: float, distance: float) -> tuple[DataFrame, DataFrame]:
