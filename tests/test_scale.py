@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from voltframe.functions import sessions
-from voltframe.operators import cluster, flow, geometry, relational, traverse
+from voltframe.operators import cluster, components, congestion, flow, geometry, relational, traverse
+from voltframe.sources import files
 
 
 def test_nearest_centroid_by_squares(spark):
@@ -99,3 +100,49 @@ def test_lines_are_smoothed_in_batches(spark):
         v = sorted(r for r in rows if r[0] == line)
         want |= {v[k] for k in geometry.simplified_places([r[2] for r in v], [r[3] for r in v], 0.5, [r[1] == 5 for r in v])}
     assert {tuple(r) for r in got.collect()} == want and len(want) < len(rows)
+
+
+def test_spanning_tree_of_points_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(x), float(y)) for k, (x, y) in enumerate([*np.round(rng.random((70, 2)), 1), (40.0, 1.0), (40.0, 1.0)])]
+    sets, want = components.Union(), set()
+    for _, a, b in sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), i, j) for i, x, y in rows for j, u, v in rows if i < j):
+        if sets.join(a, b):
+            want.add((a, b))
+    got = components.euclidean_forest(spark.createDataFrame(rows, "id long, x double, y double")).collect()
+    assert {(r.src, r.dst) for r in got} == want and len(got) == 71
+
+
+def test_pairs_and_subsets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(relational, "BLOCK", 7)
+    monkeypatch.setattr(relational, "MOST_ITEMS", 5)
+    c = spark.range(20).selectExpr("id", "0.1 as length")
+    got = {tuple(r["items"]) for r in congestion.trials(c, 2).collect()}
+    assert got == {(a,) for a in range(20)} | {(a, b) for a in range(20) for b in range(a + 1, 20)}
+    p = spark.range(30).selectExpr("id", "double(id) as x", "0D as y")
+    e = relational.complete_edges(p).collect()
+    assert len(e) == 435 and all(r.length == r.dst - r.src > 0 for r in e)
+
+
+def test_one_file_for_each_node_and_documents_of_bounded_size(spark, tmp_path, monkeypatch):
+    p = spark.range(400).repartition(8).selectExpr("id % 5 as node", "timestamp'2024-01-01' as ts", "double(id) as lmp")
+    files.write_nodes(p, str(tmp_path / "nodes"))
+    assert len(list((tmp_path / "nodes").rglob("*.csv.gz"))) == 5
+    monkeypatch.setattr(files, "IN_DOCUMENT", 10)
+    j = [f'{{"type": "node", "id": {k}, "lat": {k}.5, "lon": 1.0}}' for k in range(60)] + [f'{{"type": "way", "id": {w}, "nodes": [{w}, 59, 99]}}' for w in range(9)]
+    where = files.write_documents(spark.createDataFrame([(x,) for x in j], "j string"), str(tmp_path / "docs"))
+    assert len(list((tmp_path / "docs").glob("part-*"))) > 3
+    assert {(r.way, r.seq, r.node, r.lat) for r in files.overpass_ways(spark, where).collect()} == {(w, k, n, n + 0.5) for w in range(9) for k, n in ((0, w), (1, 59))}
+
+
+def test_silhouette_in_passes_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "MOST_SENT", 40)
+    p = spark.range(100).selectExpr("id", "double(id * 7 % 31) as x", "double(id * 5 % 17) as y", "int(id % 3) as cluster")
+    whole = cluster.silhouette(p)
+    r = p.collect()
+    d = np.array([[math.hypot(a.x - b.x, a.y - b.y) for b in r] for a in r])
+    c = np.array([a.cluster for a in r])
+    m = np.stack([d[:, c == k].mean(1) for k in range(3)], 1)
+    a, b = m[np.arange(100), c], np.where(np.arange(3) == c[:, None], np.inf, m).min(1)
+    assert whole.first().silhouette == pytest.approx(((b - a) / np.maximum(a, b)).mean())
+    assert "FlatMapGroups" not in whole._jdf.queryExecution().toString()
