@@ -146,3 +146,11 @@ def test_silhouette_in_passes_shuffles_no_pairs(spark, monkeypatch):
     a, b = m[np.arange(100), c], np.where(np.arange(3) == c[:, None], np.inf, m).min(1)
     assert whole.first().silhouette == pytest.approx(((b - a) / np.maximum(a, b)).mean())
     assert "FlatMapGroups" not in whole._jdf.queryExecution().toString()
+
+
+def test_many_roots_take_no_longer_than_what_they_reach(spark):
+    e = spark.range(300).selectExpr("id", "2 * id as src", "2 * id + 1 as dst", "1D as length")
+    kernel = traverse.Kernel([tuple(r) for r in e.collect()])
+    assert kernel.reached(4) == [(4, 4, 0.0, 0, -1, -1), (4, 5, 1.0, 1, 4, 2)] and kernel.reached(900) == [(900, 900, 0.0, 0, -1, -1)]
+    t = traverse.sssp(e, spark.range(0, 600, 2).toDF("node"), True)
+    assert t.rdd.getNumPartitions() > 100 and t.count() == 600
